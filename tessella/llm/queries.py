@@ -11,7 +11,11 @@ from ..plans import table
 from ..session import written
 from .distinct import estimate, merge, new_days, sketch, standard_error
 from .ledger import seen_before, wrong_answers
+from .mixing import mixed
 from .overlap import set_overlaps
+from .packing import containers, packed
+from .repetition import verdicts
+from .tokens import token_count
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +90,48 @@ def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
     return met.select("a.tree_id", "a.made_day", "n_exact", (F.abs(F.col("estimate") - F.col("n_exact")) <= 5 * F.col("standard_error") * F.col("n_exact") + 0.5).alias("within_bound"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return written(docs.select("doc_id", "message_id", "source", token_count("text").alias("n_tokens")), "tokens")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every container of each capacity with its messages, tokens and fill."""
+    return containers(packed(_sizes(spark, d).select("doc_id", "n_tokens"), table(spark, d, "pack_capacities")))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each pack: messages, tokens, containers, the fewest that any packing could need, and the fill."""
+    each = p6_containers(spark, d)
+    per = each.groupBy("pack_name", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum(F.size("messages")).alias("pieces"))
+    return per.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often each mix uses each message of its sources."""
+    return mixed(_sizes(spark, d), table(spark, d, "source_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the sources of each mix."""
+    return mixed(_sizes(spark, d), table(spark, d, "source_targets"))[1]
+
+
+def p7_shares_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same if each mix has to be as large as its sources: small ones are clamped and the others take their part."""
+    return mixed(_sizes(spark, d), table(spark, d, "source_targets"), epochs=1.0)[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Messages whose body repeats at least 35 % of its words."""
+    return verdicts(table(spark, d, "documents")).filter("fails").select("doc_id")
+
+
+def p8_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The share of repeated words of each message, and the verdict on its host."""
+    return verdicts(table(spark, d, "documents"))
+
+
 _KEYS = f"SELECT arrival_no, {chunk_key_sql('chunk')} AS k FROM index_items"
 _SEEN = f"""WITH a AS (SELECT * FROM ({_KEYS}) WHERE k IS NOT NULL), s AS (SELECT DISTINCT {chunk_key_sql('chunk')} AS k FROM store_chunks),
   f AS (SELECT k, min(arrival_no) AS first_no FROM a GROUP BY k),
@@ -103,6 +149,13 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_estimates": p4_estimates,
     "p4_bounds": p4_bounds,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_uses": p7_uses,
+    "p7_shares": p7_shares,
+    "p7_shares_full": p7_shares_full,
+    "p8_found": p8_found,
+    "p8_verdicts": p8_verdicts,
 }
 
 ORACLE = {
