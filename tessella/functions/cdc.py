@@ -53,6 +53,8 @@ class ChunkSizes:
         if len(parts) not in (1, 3):
             raise ValueError(f"chunk size {text!r} is neither AVG nor MIN:AVG:MAX")
         sizes = [parse_size(x) for x in parts]
+        if 0 in sizes:
+            raise ValueError(f"chunk size {text!r} has a size of 0")
         return cls.of(avg=sizes[0]) if len(sizes) == 1 else cls.of(*sizes)
 
     @property

@@ -43,7 +43,8 @@ def format_size(col: Column) -> Column:
         factor = F.lit(1024 ** (len(UNITS) - 1 - k))
         whole = ((col - F.pmod(col, factor)) / factor).cast("long")
         # The remainder is below 2^60, so ten times it only fits a decimal.
-        tenth = F.floor(F.pmod(col, factor).cast("decimal(20,0)") * 10 / factor.cast("decimal(20,0)"))
+        tenths, one = F.pmod(col, factor).cast("decimal(20,0)") * 10, factor.cast("decimal(20,0)")
+        tenth = ((tenths - F.pmod(tenths, one)) / one).cast("int")
         out = F.when(col >= factor, F.concat(whole.cast("string"), F.lit("."), tenth.cast("string"), F.lit(unit))).otherwise(out)
     return out
 

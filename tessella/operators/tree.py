@@ -69,8 +69,9 @@ def without_submounts(entries: DataFrame) -> DataFrame:
     """Drops entries on another mount than their folder, and all that is below them.
     Everything below an entry carries its path as prefix, so dropping is a join with the
     few entries at which a mount begins, by the ancestors of each path."""
-    own, up = entries.select("tree_id", F.col("path").alias("up"), F.col("mount_id").alias("up_mount")), entries
-    start = up.filter(F.col("path") != "").join(own, (up["tree_id"] == own["tree_id"]) & (parent_path(up["path"]) == own["up"])).filter(~up["mount_id"].eqNullSafe(F.col("up_mount"))).select(up["tree_id"], up["path"].alias("root"))
+    folders = entries.select("tree_id", F.col("path").alias("up"), F.col("mount_id").alias("up_mount"))
+    below = entries.filter(F.col("path") != "").select("tree_id", F.col("path").alias("root"), "mount_id", parent_path(F.col("path")).alias("up"))
+    start = below.join(folders, ["tree_id", "up"]).filter(~F.col("mount_id").eqNullSafe(F.col("up_mount"))).select("tree_id", "root")
     return _without_below(entries, start, "root")
 
 
