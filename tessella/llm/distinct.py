@@ -160,7 +160,9 @@ def new_share_estimates(rows: DataFrame, p: int = P) -> DataFrame:
             before = total
         return pd.DataFrame(out, columns=["tree_id", "made_day", "day_estimate", "new_estimate", "total_estimate", "first_day"])
 
-    return steps.groupBy("tree_id").applyInPandas(tree, "tree_id long, made_day int, day_estimate double, new_estimate double, total_estimate double, first_day boolean")
+    # A few bytes of counts take long to estimate from, so the number of tasks isn't left to their size.
+    spread = steps.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree_id")
+    return spread.groupBy("tree_id").applyInPandas(tree, "tree_id long, made_day int, day_estimate double, new_estimate double, total_estimate double, first_day boolean")
 
 
 def new_days(rows: DataFrame, least: float = 0.6, z: float = 6.0, p: int = P) -> DataFrame:
