@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cdc import WINDOW, ChunkSizes, byte_table, candidates, chunk_ends, cuts
 from ..functions.chunk_ids import format_id
 from ..functions.digests import digest, digest_bytes
+from ..session import spread
 
 #: Bytes of a blob that one task hashes at a time when it is cut in segments.
 SEGMENT = 4 << 20
@@ -54,13 +55,13 @@ def content_chunks(blobs: DataFrame, sizes: ChunkSizes | None = None, algorithm:
                     start = end
             yield pd.DataFrame(rows, columns=["blob_id", "pos", "start", "end", "size", "chunk_id"] + ["data"] * keep_data)
 
-    return blobs.select("blob_id", "data").mapInPandas(run, schema)
+    return spread(blobs.select("blob_id", "data")).mapInPandas(run, schema)
 
 
 def segments(blobs: DataFrame, length: int = SEGMENT) -> DataFrame:
     """blob_id, seg_no, base_offset, data, halo: a blob in parts, each with the 47 bytes before it."""
     n = F.length("data")
-    each = blobs.filter(n > 0).select("blob_id", "data", n.alias("n"), F.explode(F.sequence(F.lit(0), ((n - 1) / length).cast("int"))).alias("seg_no"))
+    each = spread(blobs.filter(n > 0)).select("blob_id", "data", n.alias("n"), F.explode(F.sequence(F.lit(0), ((n - 1) / length).cast("int"))).alias("seg_no"))
     base = F.col("seg_no").cast("long") * length
     halo = F.least(base, F.lit(WINDOW - 1)).cast("int")
     return each.select("blob_id", "seg_no", base.alias("base_offset"), F.substr("data", (base + 1).cast("int"), F.lit(length)).alias("data"), F.substr("data", (base + 1 - halo).cast("int"), halo).alias("halo"))

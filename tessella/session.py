@@ -63,3 +63,18 @@ def drop_written(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many tasks as there are cores, for work that costs much more
+    than moving the rows. A source of many or large files, as on a cluster, is left as it is;
+    only one that a few tasks would read is repartitioned."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        tasks = max(len(df.inputFiles()), size // part)
+    except Exception:
+        return df
+    return df.repartition(cores) if 0 < tasks < cores else df
