@@ -36,10 +36,10 @@ class KeyLedger:
         self.name = f"ledger_{uuid.uuid4().hex}"
         self.path = new_path(spark, "ledger")
         self.batches = 0
-        self._write(spark.createDataFrame([], "key binary, first_order long, batch int"))
+        spark.sql(f"CREATE TABLE {self.name} (key BINARY, first_order BIGINT, batch INT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def _write(self, df: DataFrame) -> None:
-        df.write.mode("append").option("path", self.path).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.name)
+        df.write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
     def table(self) -> DataFrame:

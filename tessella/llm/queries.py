@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.chunk_ids import chunk_key, chunk_key_sql
 from ..operators.lookup import attach
 from ..plans import table
-from ..session import written
+from ..session import spread, written
 from .distinct import estimate, merge, new_days, sketch, standard_error
 from .ledger import seen_before, wrong_answers
 from .mixing import mixed
@@ -91,7 +91,7 @@ def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "message_id", "source", "text"))
     return written(docs.select("doc_id", "message_id", "source", token_count("text").alias("n_tokens")), "tokens")
 
 

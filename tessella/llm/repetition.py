@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookup import attach
-from ..session import written
+from ..session import spread, written
 
 RUN = 5
 LEAST = 0.35
@@ -176,7 +176,7 @@ def measured(documents: DataFrame, run: int = RUN) -> DataFrame:
             host = host.where(host != "", fallback)
             yield pd.DataFrame({"doc_id": part["doc_id"], "host": host.where(host != "", None), "words": sizes, "repeated": repeated})
 
-    got = documents.select("doc_id", "text", "mailbox").mapInPandas(go, "doc_id long, host string, words int, repeated int")
+    got = spread(documents.select("doc_id", "text", "mailbox")).mapInPandas(go, "doc_id long, host string, words int, repeated int")
     return got.withColumn("share", F.coalesce(F.try_divide("repeated", "words"), F.lit(0.0)))
 
 
