@@ -156,3 +156,20 @@ def search_tree_find(items: list, wanted) -> int | None:
             return i
         i = 2 * i + (1 if wanted < items[i] else 2)
     return None
+
+
+def origin_prefix(pieces: DataFrame, owner: list[str], order: str, n_bytes: int) -> DataFrame:
+    """The pieces of each origin that make up its first `n_bytes`, the last one cut. Pieces of
+    unknown size end an origin."""
+    w = Window.partitionBy(*owner).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    known = pieces.withColumn("__before", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("__gap", F.coalesce(F.max(F.col("size").isNull()).over(w), F.lit(False)))
+    kept = known.filter((F.col("__before") < n_bytes) & ~F.col("__gap") & F.col("size").isNotNull())
+    return kept.withColumn("size", F.least(F.col("size"), F.lit(n_bytes) - F.col("__before"))).drop("__before", "__gap")
+
+
+def same_location(a: Column, b: Column, parts: list[str]) -> Column:
+    """Whether two locations (structs) agree in the given parts, unknown like unknown."""
+    out = F.lit(True)
+    for p in parts:
+        out = out & a[p].eqNullSafe(b[p])
+    return out

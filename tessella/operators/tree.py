@@ -247,3 +247,10 @@ def name_tables(entries: DataFrame) -> DataFrame:
 
     hashed = entries.filter(F.col("path") != "").select("tree_id", parent_path(F.col("path")).alias("parent"), name_hash(base_name(F.col("path")).cast("binary")).alias("hash"), "start", (F.col("start") + F.col("size")).alias("end"))
     return hashed.groupBy("tree_id", "parent").agg(F.collect_list(F.struct("hash", "start", "end")).alias("items")).select("tree_id", "parent", as_search_tree(sorted_names(F.col("items"))).alias("items"))
+
+
+def with_folders(entries: DataFrame) -> DataFrame:
+    """tree_id, path, kind with the folders, and the top, that paths imply but no entry stands for."""
+    above = F.concat(F.array(F.lit("")), ancestors(F.col("path"), own=False))
+    implied = entries.select("tree_id", F.explode(above).alias("path")).distinct().join(entries.select("tree_id", "path"), ["tree_id", "path"], "left_anti")
+    return entries.select("tree_id", "path", "kind").unionByName(implied.withColumn("kind", F.lit("dir")))

@@ -324,6 +324,30 @@ def codec_report(spark, d):
     return _stores(spark, d).groupBy("codec").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
+def make_documents(spark, d):
+    """What making an index of every message writes and reuses, with content-defined cuts."""
+    from .verbs import Options, make_blobs
+
+    return make_blobs(_blobs(spark, d), options=Options(sizes=SMALL)).report
+
+
+def tree_archives(spark, d):
+    """Size and digest of an archive of the latest snapshot of every tree; the records have no contents, so files are empty in it."""
+    from ..sources.archives import archives
+
+    entries = tree.with_folders(_entries(spark, d).filter(F.col("path") != ""))
+    made = archives(entries)
+    return made.select("tree_id", F.length("archive").cast("long").alias("bytes"), F.sha2("archive", 256).alias("digest"))
+
+
+def archive_round_trip(spark, d):
+    """Entries of those archives as they are read back, by kind."""
+    from ..sources.archives import archives, unpacked
+
+    entries = tree.with_folders(_entries(spark, d).filter(F.col("path") != ""))
+    return unpacked(archives(entries), with_content=False).groupBy("tree_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 _I = f"(SELECT arrival_no, index_id, pos, end_offset, {chunk_key_sql('chunk')} AS k FROM index_items)"
 _S = f"(SELECT store_id, size, codec, {chunk_key_sql('chunk')} AS k FROM store_chunks)"
 _SIZED = f"""once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY index_id, pos ORDER BY k IS NULL, end_offset IS NULL, arrival_no) AS rn FROM {_I} WHERE index_id IS NOT NULL AND pos IS NOT NULL) WHERE rn = 1),
@@ -359,7 +383,7 @@ QUERIES = {
         fixed_chunk_totals, fixed_chunk_reuse, fixed_index, payload_digests, content_chunk_totals, content_index, content_index_of_segments, chunk_size_histogram, source_stream_digests, round_trip, byte_range,
         index_sizes, index_totals, index_violations, chunk_at_offset, range_of_indices, collection_usage, gc_plan, gc_totals, prefetch, present_items, push_missing, store_after_put, store_tombstones,
         resolve_providers, resolve_items, seed_delta, covering_flags, flag_names, locator_classes, locator_siblings, size_texts, list_latest, manifest_latest, entry_violations, excluded_paths, walk_order,
-        folder_tables, location_texts, location_ids, cache_run, extract_deletes, hardlink_groups, reflink_bytes, codec_report,
+        folder_tables, location_texts, location_ids, cache_run, extract_deletes, hardlink_groups, reflink_bytes, codec_report, make_documents, tree_archives, archive_round_trip,
     )
 }
 
@@ -433,5 +457,8 @@ ORACLE = {
     "reflink_bytes": f"""WITH {_SPANS}, k AS (SELECT * FROM spans WHERE k IS NOT NULL), f AS (SELECT k, arg_min(struct_pack(i := index_id, p := pos, a := a), (index_id, pos)) AS f FROM k GROUP BY k),
         m AS (SELECT k.index_id, k.a AS t, f.a AS s, k.b - k.a AS n FROM k JOIN f USING (k) WHERE k.index_id <> f.i OR k.pos <> f.p)
         SELECT index_id, CAST(sum(CASE WHEN t % 4096 = s % 4096 AND (t + n) // 4096 * 4096 > (t + 4095) // 4096 * 4096 THEN (t + n) // 4096 * 4096 - (t + 4095) // 4096 * 4096 ELSE 0 END) AS BIGINT) AS bytes FROM m GROUP BY 1""",
+    "archive_round_trip": f"""WITH {_ENTRIES}, e AS (SELECT DISTINCT tree_id, path, CASE WHEN designator = 'e' THEN 'dir' ELSE 'file' END AS kind FROM entries WHERE path <> ''),
+        a AS (SELECT DISTINCT tree_id, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT tree_id, path, unnest(range(0, len(string_split(path, '/')))) AS k FROM e)),
+        u AS (SELECT tree_id, path, kind FROM e UNION ALL SELECT tree_id, path, 'dir' FROM a ANTI JOIN e USING (tree_id, path)) SELECT tree_id, kind, count(*) AS n FROM u GROUP BY ALL""",
     "codec_report": f"SELECT codec, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM {_S} WHERE k IS NOT NULL GROUP BY 1",
 }
