@@ -22,18 +22,32 @@ def fits(small: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
     return n <= max_rows and total <= max_bytes
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+def heavy_hashes(big: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold a thousandth of all rows or more: at most a thousand,
+    found in one pass that moves nothing but a sketch of each task."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in on])
+    keyed = big.dropna(subset=on).select(h.alias("h"))
+    n, top = keyed.agg(F.count(F.lit(1)), F.expr("approx_top_k(h, 1000, 100000)")).first()
+    return [x.item for x in top or [] if x["count"] * 1000 >= n]
+
+
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int | None = None) -> DataFrame:
     """`big` joined with `small` on the columns `on`; how is inner, left or left_semi.
 
     `small` is broadcast if it is measured to be within MAX_ROWS and MAX_BYTES.
-    Beyond, both are shuffled, and any key of `big` may hold most rows: each key
-    is split over `salts` partitions by a hash of the whole row, and `small` is
-    repeated so often. Null keys match nothing; an empty side gives the usual
-    result of the join; repeated rows of `small` multiply as in any join.
+    Beyond, both are shuffled, and any key of `big` may hold most rows: the keys
+    that hold a thousandth of them or more are split over `salts` partitions (as
+    many as the session shuffles into, unless given) by a hash of the whole row,
+    and the rows of `small` of just these keys are repeated so often. Null keys
+    match nothing; an empty side gives the usual result of the join; repeated rows
+    of `small` multiply as in any join.
     """
     if fits(small):
         return big.join(F.broadcast(small), on, how)
-    salt = "__salt"
-    cut = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if not isinstance(big.schema[c].dataType, T.MapType)]), F.lit(salts)).cast("int")
-    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn(salt, cut).join(spread, [*on, salt], how).drop(salt)
+    salts = salts or max(16, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = heavy_hashes(big, on)
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields if not isinstance(f.dataType, T.MapType)])
+    cut = F.when(key.isin(heavy), F.pmod(row, F.lit(salts)).cast("int")).otherwise(0) if heavy else F.lit(0)
+    times = F.when(key.isin(heavy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if heavy else F.array(F.lit(0))
+    return big.withColumn("__salt", cut).join(small.withColumn("__salt", F.explode(times)), [*on, "__salt"], how).drop("__salt")

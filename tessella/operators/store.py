@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import digest
+from .lookup import attach
 
 # Fixed value: the order in which providers are asked.
 PROVIDERS = ["seed", "write-store", "cache-store", "read-store", "remote"]
@@ -13,7 +14,7 @@ PROVIDERS = ["seed", "write-store", "cache-store", "read-store", "remote"]
 
 def has(items: DataFrame, store: DataFrame, on: str = "chunk_id") -> DataFrame:
     """`items` that a store holds. Tombstones count as missing."""
-    return items.join(_present(store).select(on).distinct(), on, "left_semi")
+    return attach(items, _present(store).select(on).dropna().distinct(), [on], "left_semi")
 
 
 def lacks(items: DataFrame, store: DataFrame, on: str = "chunk_id") -> DataFrame:
@@ -94,6 +95,6 @@ def provider_totals(items: DataFrame, sources: list[tuple[str, DataFrame]], on:
 
 
 def resolve(items: DataFrame, sources: list[tuple[str, DataFrame]], on: str = "chunk_id") -> DataFrame:
-    """`items` with the provider that each is taken from, null if there is none. Left
-    to AQE to split: the distinct ids are on the other side, so no row multiplies."""
-    return items.join(providers(sources, on).select(on, "provider"), on, "left")
+    """`items` with the provider that each is taken from, null if there is none. The
+    distinct ids are on the other side, so no row multiplies."""
+    return attach(items, providers(sources, on).select(on, "provider"), [on], "left")

@@ -314,7 +314,7 @@ def reflink_bytes(spark, d):
     """Bytes that the items of an index could share, block by block, with the same chunk at its first place."""
     one = index.spans(table(spark, d, "index_items")).filter(F.col("key").isNotNull())
     first = one.groupBy("key").agg(F.min(F.struct("index_id", "pos", "start")).alias("f"))
-    met = one.join(first, "key").filter((F.col("index_id") != F.col("f.index_id")) | (F.col("pos") != F.col("f.pos")))
+    met = attach(one, first, ["key"]).filter((F.col("index_id") != F.col("f.index_id")) | (F.col("pos") != F.col("f.pos")))
     got = cache.reflinked(met.select("index_id", F.col("start").alias("target"), F.col("f.start").alias("source"), (F.col("end") - F.col("start")).alias("size")))
     return got.groupBy("index_id").agg(F.sum("bytes").alias("bytes"))
 

@@ -12,6 +12,7 @@ from ..functions import listing
 from ..functions.cdc import ChunkSizes
 from ..functions.codecs import compress
 from ..operators import cache, chunking, index, store, tree
+from ..operators.lookup import attach
 from ..session import written
 from ..sources import archives
 
@@ -214,7 +215,7 @@ def collect_garbage(held: DataFrame, used: DataFrame, options: Options = Options
 def verify(items: DataFrame, held: DataFrame, options: Options = Options()) -> DataFrame:
     """index_id, pos, state of each item of indices against a store with data: ok, missing or damaged."""
     state = store.verified(held.select("chunk_id", "data"), options.digest).groupBy("chunk_id").agg(F.max("intact").alias("intact"))
-    met = items.join(state, "chunk_id", "left")
+    met = attach(items, state, ["chunk_id"], "left")
     return met.select("index_id", "pos", F.when(F.col("intact").isNull(), "missing").when(F.col("intact"), "ok").otherwise("damaged").alias("state"))
 
 

@@ -122,7 +122,17 @@ def test_attach_is_the_join(spark, how, monkeypatch):
 
     monkeypatch.setattr(lookup, "fits", lambda *a, **k: False)
     assert sorted(map(str, attach(big, small, ["k"], how).collect())) == want
-    assert attach(big, small.limit(0), ["k"], "inner").count() == 0
+    assert attach(big, small.limit(0), ["k"], "inner").count() == 0 and attach(big.limit(0), small, ["k"], how).count() == 0
+
+
+def test_heavy_keys_are_split(spark, force_shuffle):
+    from tessella.operators.lookup import heavy_hashes
+
+    big = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS n", "cast(null AS string) AS v")
+    assert len(heavy_hashes(big, ["k"])) == 1
+    small = spark.range(30_000).selectExpr("id AS k", "id * 2 AS w")
+    joined = attach(big, small, ["k"], salts=8)
+    assert joined.count() == 20_000 and joined.filter("w <> k * 2").count() == 0
 
 
 @pytest.mark.parametrize(
