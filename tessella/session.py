@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_PATHS: dict[str, list[str]] = {}
 
 
 def build_session(cores: int | str = 8, app: str = "tessella", **extra: str) -> SparkSession:
@@ -46,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +68,15 @@ def drop_written(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes all that this session has left in the shared folder, once no result is needed
+    any more that was computed from it. Returns how many tables that were."""
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_written(spark, path)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many tasks as there are cores, for work that costs much more
     than moving the rows. A source of many or large files, as on a cluster, is left as it is;
