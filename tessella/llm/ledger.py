@@ -67,12 +67,12 @@ class KeyLedger:
         """`rows` (columns `key` and `order`, of batches that were taken in) with `seen`.
 
         A row is new only if the ledger names it as the first arrival of its
-        key, so rows meet the ledger by their order: a frequent key is spread
-        over all tasks. Other columns are kept, whatever their names."""
-        first = self.table().filter(F.col("batch") > 0).select(F.col("key").alias("__first_key"), F.col("first_order").alias("__at")).repartition("__at")
-        own = rows.withColumn("__order", _order(F.col("order"))).repartition("__order")
-        met = own.join(first, (F.col("__order") == F.col("__at")) & (F.col("key") == F.col("__first_key")), "left")
-        return met.withColumn("seen", F.when(F.col("key").isNotNull(), F.col("__first_key").isNull())).select(*rows.columns, "seen")
+        key, so rows meet the ledger by order and key: a frequent key is spread
+        over all tasks, and so is a frequent pair of both, as with many rows of
+        one key that state no order. Other columns are kept, whatever their names."""
+        first = self.table().filter(F.col("batch") > 0).select("key", F.col("first_order").alias("__order"), F.lit(True).alias("__first"))
+        met = attach(rows.withColumn("__order", _order(F.col("order"))), first, ["__order", "key"], "left")
+        return met.withColumn("seen", F.when(F.col("key").isNotNull(), F.col("__first").isNull())).select(*rows.columns, "seen")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
