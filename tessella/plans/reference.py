@@ -13,6 +13,7 @@ from ..functions.digests import digest
 from ..operators import cache, chunking, index, store, tree
 from ..operators.eager import sized_items
 from ..operators.lookup import attach
+from ..operators.order import running_total
 from ..operators.snapshots import canonical_path
 from . import table
 
@@ -257,8 +258,8 @@ def excluded_paths(spark, d):
 
 def walk_order(spark, d):
     """The place of every entry of the latest snapshots in the walk of its tree."""
-    per = _entries(spark, d).groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct(tree.tree_order(F.col("path")).alias("k"), "path"))).alias("p"))
-    return per.select("tree_id", F.posexplode("p").alias("place", "p")).select("tree_id", "place", "p.path")
+    placed = running_total(_entries(spark, d).select("tree_id", "path", tree.tree_order(F.col("path")).alias("key")), ["tree_id"], ["key"], name="place")
+    return placed.select("tree_id", "place", "path")
 
 
 def folder_tables(spark, d):
@@ -333,11 +334,10 @@ def make_documents(spark, d):
 
 def tree_archives(spark, d):
     """Size and digest of an archive of the latest snapshot of every tree; the records have no contents, so files are empty in it."""
-    from ..sources.archives import archives
+    from ..sources.archives import archive_parts
 
-    entries = tree.with_folders(_entries(spark, d).filter(F.col("path") != ""))
-    made = archives(entries)
-    return made.select("tree_id", F.length("archive").cast("long").alias("bytes"), F.sha2("archive", 256).alias("digest"))
+    parts = archive_parts(tree.with_folders(_entries(spark, d).filter(F.col("path") != "")))
+    return chunking.stream_digest(parts, ["tree_id"], "start")
 
 
 def archive_round_trip(spark, d):
@@ -442,7 +442,7 @@ ORACLE = {
         s AS (SELECT tree_id, path, array_to_string(string_split(path, '/')[1:k], '/') AS anc, designator = 'e' OR k < len(string_split(path, '/')) AS is_dir FROM p), n AS (SELECT *, regexp_extract(anc, '[^/]*$') AS name FROM s)
         SELECT DISTINCT tree_id, path FROM n WHERE (regexp_full_match(name, '[^.].*\.tmp|\.tmp') AND name[1] <> '.' OR regexp_full_match(name, '.*\.gz') AND name[1] <> '.' OR anc = 'cache' AND is_dir OR regexp_full_match(anc, 'doc/logs/[^/]*\.py') AND name[1] <> '.' OR anc = 'drafts' AND is_dir)
           AND NOT regexp_full_match(name, 'report.*\.gz')""",
-    "walk_order": f"WITH {_ENTRIES} SELECT tree_id, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY list_transform(string_split(path, '/'), lambda x: hex(encode(x)))) - 1 AS INTEGER) AS place, path FROM entries",
+    "walk_order": f"WITH {_ENTRIES} SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY list_transform(string_split(path, '/'), lambda x: hex(encode(x)))) - 1 AS place, path FROM entries",
     "folder_tables": f"WITH {_ENTRIES} SELECT tree_id, regexp_replace(path, '/?[^/]*$', '') AS parent, CAST(count(*) AS INTEGER) AS names FROM entries WHERE path <> '' GROUP BY ALL",
     "location_texts": f"""SELECT snapshot_id, {_CANON} AS path, {_CANON} || '+' || designator || start_offset::VARCHAR || CASE WHEN size > 0 THEN ':' || size::VARCHAR ELSE '' END
         || CASE WHEN mtime IS NULL THEN '' ELSE '@' || coalesce(inode, 0)::VARCHAR || '.' || mtime::VARCHAR || coalesce('.' || (generation::BIGINT & 4294967295)::VARCHAR, '') END AS text, true AS same FROM locations""",

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import features as ff
 from ..functions.digests import siphash24
 from ..functions.listing import RECORDS
+from ..session import written
 
 # Fixed values of the archive format.
 TAIL_MARKER = 0x57446FA533702943
@@ -229,18 +230,103 @@ def _decoded(data, with_content: bool) -> Iterator[dict]:
         raise ValueError("the archive is cut off")
 
 
+def archive_parts(entries: DataFrame, features: int = ff.DEFAULT) -> DataFrame:
+    """tree_id, start, data: the archive of each tree in parts that follow one another by `start`.
+
+    The same bytes as `archives`, but no task holds more than a node's records or the
+    table of one folder. The size of every part is known before its bytes: a table's from the
+    number of names. So the starts are running totals in the order of the walk, in which a
+    folder's table comes behind all that is below it, and the tables are made of the starts."""
+    from ..operators.order import running_total
+    from ..operators.tree import base_name, parent_path
+
+    have = [c for c in FIELDS if c in entries.columns]
+    kind = entries.schema["tree_id"].dataType.simpleString()
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for e in _plain_rows(b):
+                name = _name(e["path"].rpartition("/")[2])
+                first = _record("filename", name + b"\0") if e["path"] else b""
+                rows.append((e["tree_id"], e["path"], e["kind"], len(first), first + entry_records(e, features)))
+            yield pd.DataFrame(rows, columns=["tree_id", "path", "kind", "entry_at", "data"])
+
+    nodes = written(entries.select("tree_id", *have).mapInPandas(records, f"tree_id {kind}, path string, kind string, entry_at long, data binary"), "records")
+    step = F.transform(F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/")), lambda x: F.struct(F.lit(0).alias("last"), x.cast("binary").alias("name")))
+    names = nodes.filter(F.col("path") != "").groupBy("tree_id", parent_path(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("names"))
+    tables = nodes.filter(F.col("kind") == "dir").join(names, ["tree_id", "path"], "left").select("tree_id", "path", "kind", F.lit(True).alias("table"), (F.coalesce("names", F.lit(0)) * 24 + 40).alias("size"), F.lit(0).cast("long").alias("entry_at"), F.concat(step, F.array(F.struct(F.lit(1).alias("last"), F.lit(b"").alias("name")))).alias("key"))
+    own = nodes.select("tree_id", "path", "kind", F.lit(False).alias("table"), F.length("data").cast("long").alias("size"), "entry_at", step.alias("key"))
+    placed = written(running_total(own.unionByName(tables), ["tree_id"], ["key"], F.col("size"), "start").drop("key"), "placed")
+
+    at = placed.filter(~F.col("table"))
+    end = placed.filter(F.col("table")).select("tree_id", "path", (F.col("start") + F.col("size")).alias("end"))
+    child = at.filter(F.col("path") != "").join(end, ["tree_id", "path"], "left")
+    items = child.groupBy("tree_id", parent_path(F.col("path")).alias("path")).agg(F.collect_list(F.struct(base_name(F.col("path")).alias("name"), "start", F.coalesce("end", F.col("start") + F.col("size")).alias("end"))).alias("items"))
+    folders = placed.filter(F.col("table")).select("tree_id", "path", "start").join(at.select("tree_id", "path", (F.col("start") + F.col("entry_at")).alias("entry_start")), ["tree_id", "path"]).join(items, ["tree_id", "path"], "left")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = []
+            for start, entry, found in zip(b["start"], b["entry_start"], b["items"]):
+                data.append(_goodbye([(_name(x["name"]), x["start"], x["end"]) for x in (found if found is not None else [])], int(entry), int(start)))
+            yield pd.DataFrame({"tree_id": b["tree_id"], "start": b["start"], "data": data})
+
+    ends = folders.select("tree_id", "start", "entry_start", "items").mapInPandas(made, f"tree_id {kind}, start long, data binary")
+    return at.select("tree_id", "path", "start").join(nodes.select("tree_id", "path", "data"), ["tree_id", "path"]).select("tree_id", "start", "data").unionByName(ends)
+
+
+def _plain_rows(b: pd.DataFrame) -> list[dict]:
+    rows = b.astype(object).where(b.notna(), None).to_dict("records")
+    for r in rows:
+        for c in ("mode", "flags", "uid", "gid", "mtime_ns", "major", "minor", "quota_projid"):
+            if r.get(c) is not None:
+                r[c] = int(r[c])
+    return rows
+
+
+def write_archives(parts: DataFrame, folder: str) -> DataFrame:
+    """Writes `archive_parts` into one file for each tree and returns tree_id, path, bytes. The
+    parts of a tree pass through one task, in order, and aren't held; a file appears under
+    its name when it is whole."""
+    kind = parts.schema["tree_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        now, f, temp, done = None, None, "", []
+
+        def close() -> None:
+            n = f.tell()
+            f.close()
+            path = os.path.join(folder, f"{now}.catar")
+            os.replace(temp, path)
+            done.append((now, path, n))
+
+        for b in batches:
+            for tree, data in zip(b["tree_id"], b["data"]):
+                if tree != now:
+                    if now is not None:
+                        close()
+                    now, temp = tree, os.path.join(folder, f"{tree}.{uuid.uuid4().hex}.tmp")
+                    f = open(temp, "wb")
+                f.write(data)
+        if now is not None:
+            close()
+        yield pd.DataFrame(done, columns=["tree_id", "path", "bytes"])
+
+    return parts.select("tree_id", "start", "data").repartition("tree_id").sortWithinPartitions("tree_id", "start").mapInPandas(run, f"tree_id {kind}, path string, bytes long")
+
+
 def archives(entries: DataFrame, features: int = ff.DEFAULT) -> DataFrame:
     """tree_id, archive: the archive of each tree as one value. `entries` has tree_id and the
-    columns of ENTRIES. An archive is one ordered stream, which one task writes."""
+    columns of ENTRIES. For trees that fit into a value; for others see `archive_parts`."""
     kind = entries.schema["tree_id"].dataType.simpleString()
     have = [c for c in FIELDS if c in entries.columns]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part[have].astype(object).where(part[have].notna(), None).to_dict("records")
-        for r in rows:
-            for c in ("mode", "flags", "uid", "gid", "mtime_ns", "major", "minor", "quota_projid"):
-                if r.get(c) is not None:
-                    r[c] = int(r[c])
+        rows = _plain_rows(part[have])
         rows.sort(key=lambda r: [_name(x) for x in r["path"].split("/")] if r["path"] else [])
         return pd.DataFrame({"tree_id": [part["tree_id"].iloc[0]], "archive": [b"".join(encode_tree(rows, features))]})
 
@@ -419,8 +505,6 @@ def extract(entries: DataFrame, target: str, flags: int = ff.DEFAULT) -> DataFra
         if flags & ff.bits(*ff._TIMES) and not pd.isna(e.get("mtime_ns")):
             os.utime(full, ns=(int(e["mtime_ns"]), int(e["mtime_ns"])))
 
-    from ..session import written
-
     light = entries.select(*[c for c in have if c != "content"]).filter(F.col("kind") == "dir")
     folders = written(light.withColumn("content", F.lit(None).cast("binary")).mapInPandas(make, "path string, state string"), "folders")
     files = written(entries.select(*have).filter(F.col("kind") != "dir").mapInPandas(make, "path string, state string"), "files")

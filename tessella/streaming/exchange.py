@@ -6,10 +6,12 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..operators.order import running_total
+
 # Fixed values of the protocol.
 FRAMES = {
     "hello": 0x3C71D0948CA5FBEE,
@@ -86,21 +88,21 @@ def request_queue(requests: DataFrame) -> DataFrame:
 
     `requests` has chunk_id, high and seq. A chunk that is asked for again is high as soon
     as one request is, and keeps the place of the first request of that priority. High
-    ones come first, each kind in the order of asking. The place is a global order, so it is one
-    window over the distinct ids; who only needs the set leaves it out."""
+    ones come first, each kind in the order of asking."""
     high = F.coalesce("high", F.lit(False))
     one = requests.filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.max(high).alias("high"), F.min(F.when(high, F.col("seq"))).alias("h"), F.min("seq").alias("l"))
     seq = F.when(F.col("high"), F.col("h")).otherwise(F.col("l"))
-    return one.select("chunk_id", "high", (F.row_number().over(Window.orderBy(F.desc("high"), seq, "chunk_id")) - 1).alias("place"))
+    asked = one.select("chunk_id", "high", (~F.col("high")).alias("later"), seq.alias("seq"))
+    return running_total(asked, [], ["later", "seq", "chunk_id"], name="place").select("chunk_id", "high", "place")
 
 
 def request_frames(queue: DataFrame, most: int = REQUEST_BYTES) -> DataFrame:
     """frame_no, high, chunks: requests put together into frames of at most `most` bytes, none with mixed priorities. `queue` has binary ids."""
     per = (most - 24) // 32
-    within = F.row_number().over(Window.partitionBy("high").orderBy("place")) - 1
-    cut = queue.withColumn("f", F.floor(within / per))
-    got = cut.groupBy("high", "f").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks"))
-    return got.select(F.row_number().over(Window.orderBy(F.desc("high"), "f")).alias("frame_no"), "high", "chunks")
+    n_high = queue.filter("high").count()
+    high, low = F.floor(F.col("place") / per), F.floor((F.col("place") - n_high) / per) + -(-n_high // per)
+    placed = queue.withColumn("frame_no", F.when(F.col("high"), high).otherwise(low) + 1)
+    return placed.groupBy("frame_no", "high").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks"))
 
 
 def new_requests(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -13,10 +13,11 @@ SMOKE = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tessella.session import build_session
+    from tessella.session import build_session, release
 
     session = build_session(4, "tests", **{"spark.driver.memory": "4g"})
     yield session
+    release(session)
     session.stop()
 
 

@@ -70,6 +70,20 @@ def test_reuse_and_histogram(spark):
     assert sum(r.n for r in h) == c.count() and all(1 <= r.bucket <= 8 for r in h)
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_running_total(spark, by, force_shuffle):
+    from tessella.operators.order import running_total
+
+    r = random.Random(8)
+    rows = [(r.choice(["hot", "hot", "hot", "x", None]), k, r.choice([None, 1, 5])) for k in r.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = {x.k: x.before for x in running_total(df, by, ["k"], F.col("v")).collect()}
+    want = {k: sum(v2 or 0 for g2, k2, v2 in rows if k2 < k and (not by or g2 == g)) for g, k, _ in rows if not by or g}
+    assert got == want
+    assert sorted(x.place for x in running_total(df, [], ["k"], name="place").collect()) == list(range(500))
+    assert running_total(df.limit(0), by, ["k"]).collect() == []
+
+
 def test_stream_digest_and_holes(spark):
     parts = spark.createDataFrame([("a", 2, b"bar"), ("a", 1, b"foo"), ("b", 1, None), ("a", 3, b"")], "s string, n int, data binary")
     got = {r.s: (r.digest, r.bytes) for r in chunking.stream_digest(parts, ["s"], "n").collect()}

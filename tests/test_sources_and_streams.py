@@ -125,6 +125,21 @@ def test_archives_of_tables(spark, tmp_path):
         assert [r.path for r in rows] == [e["path"] for e in TREE] and rows[2]["size"] == 5 and (rows[2].content is not None) == content
 
 
+def test_archive_parts_are_the_archive(spark, tmp_path, force_shuffle):
+    rows = [(t, e["path"], e["kind"], e.get("mode"), e.get("content"), e.get("target"), e.get("major"), e.get("minor")) for t in (1, 2) for e in TREE if t == 1 or not e["path"].startswith("a/")]
+    rows += [(2, f"a/{k}/{j}" if j else f"a/{k}", "file" if j else "dir", 0o644, b"%d" % j, None, None, None) for k in range(9) for j in range(6)]
+    df = spark.createDataFrame(rows, "tree_id long, path string, kind string, mode int, content binary, target string, major long, minor long")
+    want = {r.tree_id: bytes(r.archive) for r in archives.archives(df).collect()}
+    parts = archives.archive_parts(df)
+    got = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.tree_id, r.start)):
+        assert r.start == len(got.get(r.tree_id, b""))
+        got[r.tree_id] = got.get(r.tree_id, b"") + bytes(r.data)
+    assert got == want
+    assert {r.tree_id: r.bytes for r in archives.write_archives(parts, str(tmp_path)).collect()} == {t: len(d) for t, d in want.items()}
+    assert (tmp_path / "2.catar").read_bytes() == want[2]
+
+
 def test_tree_walk_and_extract(spark, tmp_path):
     src = tmp_path / "src"
     (src / "a" / "deep").mkdir(parents=True)
