@@ -25,7 +25,7 @@ def key(k):
 
 
 def seen_frames(spark, rows, history):
-    r = spark.createDataFrame([(key(k), o, n, "x") for n, (k, o) in enumerate(rows)], "key binary, order long, n long, seen_at string")
+    r = spark.createDataFrame([(key(k), o, n, "x") for n, (k, o) in enumerate(rows)], "key binary, order long, n long, seen string")
     h = spark.createDataFrame([(key(k), "y") for k in history], "key binary, order string")
     return r, h
 
