@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,22 +115,42 @@ def candidates(data: bytes | np.ndarray, d: int, table: np.ndarray) -> np.ndarra
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def cuts(n: int, at: np.ndarray, sizes: ChunkSizes) -> list[int]:
+def cuts(n: int, at: Sequence[int], sizes: ChunkSizes) -> list[int]:
     """Ends of the chunks of a stream of n bytes with the candidates `at`. A cut depends only on the bytes since the one before it."""
     if sizes.fixed:
         return [*range(sizes.max, n, sizes.max), n] if n else []
-    least, most = sizes.first_test, max(sizes.max, WINDOW)
+    at = at.tolist() if isinstance(at, np.ndarray) else at
+    least, most, m = sizes.first_test, max(sizes.max, WINDOW), len(at)
     out, last, k = [], 0, 0
     while last < n:
-        k += int(np.searchsorted(at[k:], last + least))
+        k = bisect_left(at, last + least, k)
         end = min(last + most, n)
-        if k < len(at) and at[k] < end:
-            end = int(at[k])
+        if k < m and at[k] < end:
+            end = at[k]
         out.append(end)
         last = end
     return out
 
 
+def chunk_ends_of_many(blobs: Sequence[bytes], sizes: ChunkSizes, table: np.ndarray) -> Iterator[list[int]]:
+    """`chunk_ends` of each blob; small ones are hashed together, as a hash sees 48 bytes only."""
+    first = 0
+    while first < len(blobs):
+        last, held = first, 0
+        while last < len(blobs) and (not held or held + len(blobs[last]) <= SLICE):
+            held += len(blobs[last])
+            last += 1
+        group = blobs[first:last]
+        at = [] if sizes.fixed else candidates(b"".join(group) if len(group) > 1 else group[0], sizes.discriminator, table).tolist()
+        begin = 0
+        for blob in group:
+            # Those whose window lies within the blob.
+            own = at[bisect_left(at, begin + WINDOW) : bisect_right(at, begin + len(blob))]
+            yield cuts(len(blob), [x - begin for x in own] if begin else own, sizes)
+            begin += len(blob)
+        first = last
+
+
 def chunk_ends(data: bytes, sizes: ChunkSizes, table: np.ndarray | None = None) -> list[int]:
     return cuts(len(data), np.zeros(0, np.int64) if sizes.fixed else candidates(data, sizes.discriminator, byte_table() if table is None else table), sizes)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 # Fixed value of the archive format: the key under which file names are hashed.
 NAME_HASH_KEY = bytes.fromhex("b3841d0f2b447485c12ec2d130ed3627")
 
-_NAMES = {"sha256": "sha256", "sha512-256": "sha512_256"}
+HASHES = {"sha256": hashlib.sha256, "sha512-256": functools.partial(hashlib.new, "sha512_256")}
 
 
 def digest_bytes(data: bytes, algorithm: str = "sha512-256") -> bytes:
-    return hashlib.new(_NAMES[algorithm], data).digest()
+    return HASHES[algorithm](data).digest()
 
 
 def sha512_256(col: Column) -> Column:
@@ -32,8 +33,8 @@ def sha512_256(col: Column) -> Column:
 
 def digest(col: Column, algorithm: str = "sha256") -> Column:
     """32 bytes; null stays null. Only sha512-256 leaves the JVM."""
-    if algorithm not in _NAMES:
-        raise ValueError(f"unknown digest {algorithm!r}; known are {', '.join(_NAMES)}")
+    if algorithm not in HASHES:
+        raise ValueError(f"unknown digest {algorithm!r}; known are {', '.join(HASHES)}")
     return F.unhex(F.sha2(col, 256)) if algorithm == "sha256" else sha512_256(col)
 
 

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cdc import WINDOW, ChunkSizes, byte_table, candidates, chunk_ends, cuts
+from ..functions.cdc import WINDOW, ChunkSizes, byte_table, candidates, chunk_ends_of_many, cuts
 from ..functions.chunk_ids import format_id
-from ..functions.digests import digest, digest_bytes
+from ..functions.digests import HASHES, digest
 from ..session import spread
 
 #: Bytes of a blob that one task hashes at a time when it is cut in segments.
@@ -40,22 +41,30 @@ def content_chunks(blobs: DataFrame, sizes: ChunkSizes | None = None, algorithm:
     kind = blobs.schema["blob_id"].dataType.simpleString()
     schema = f"blob_id {kind}, pos int, start long, end long, size long, chunk_id string" + (", data binary" if keep_data else "")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = byte_table(table)
-        for part in parts:
-            rows = []
-            for blob, data in zip(part["blob_id"], part["data"]):
-                if data is None:
-                    continue
-                start = 0
-                for pos, end in enumerate(chunk_ends(data, sizes, numbers)):
-                    piece = data[start:end]
-                    row = (blob, pos, start, end, end - start, digest_bytes(piece, algorithm).hex())
-                    rows.append((*row, piece) if keep_data else row)
-                    start = end
-            yield pd.DataFrame(rows, columns=["blob_id", "pos", "start", "end", "size", "chunk_id"] + ["data"] * keep_data)
-
-    return spread(blobs.select("blob_id", "data")).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, new = byte_table(table), HASHES[algorithm]
+        for batch in batches:
+            blobs_ = batch.column(1).to_pylist()
+            some = [b or b"" for b in blobs_]  # the missing have no chunks, like the empty
+            starts, ends, counts, digests, pieces = [], [], [], [], []
+            for data, own in zip(some, chunk_ends_of_many(some, sizes, numbers)):
+                at = [0, *own[:-1]] if own else []
+                cut = [data[a:b] for a, b in zip(at, own)]
+                digests += [new(x).hexdigest() for x in cut]
+                starts += at
+                ends += own
+                counts.append(len(own))
+                if keep_data:
+                    pieces += cut
+            rows = np.repeat(np.arange(len(counts)), counts)
+            pos = np.arange(len(rows)) - (np.cumsum(counts) - counts)[rows]
+            start, end = np.array(starts, np.int64), np.array(ends, np.int64)
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(pos.astype(np.int32)), pa.array(start), pa.array(end), pa.array(end - start), pa.array(digests, pa.string())]
+            if keep_data:
+                columns.append(pa.array(pieces, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["blob_id", "pos", "start", "end", "size", "chunk_id", "data"][: len(columns)])
+
+    return spread(blobs.select("blob_id", "data")).mapInArrow(run, schema)
 
 
 def segments(blobs: DataFrame, length: int = SEGMENT) -> DataFrame:
