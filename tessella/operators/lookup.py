@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +24,21 @@ def fits(small: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
     return n <= max_rows and total <= max_bytes
 
 
-def heavy_hashes(big: DataFrame, on: list[str]) -> list[int]:
-    """Hashes of the keys that hold a thousandth of all rows or more: at most a thousand,
-    found in one pass that moves nothing but a sketch of each task."""
+def heavy_hashes(big: DataFrame, on: list[str], groups: int = 64) -> list[int]:
+    """Hashes of the keys that hold a hundredth of all rows or more, at most 400 with some of
+    fewer rows, in one pass that moves nothing but small sketches.
+
+    Each of `groups` sets of tasks has its sketches of the 200 most frequent keys merged by
+    itself, so no task reads those of all. A key that isn't among them holds less than
+    a two-hundredth of such a set; with what a sketch may miss, summing up what is known and
+    keeping from a four-hundredth on leaves no heavy key out."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in on])
-    keyed = big.dropna(subset=on).select(h.alias("h"))
-    n, top = keyed.agg(F.count(F.lit(1)), F.expr("approx_top_k(h, 1000, 100000)")).first()
-    return [x.item for x in top or [] if x["count"] * 1000 >= n]
+    keyed = big.dropna(subset=on).select(h.alias("h"), F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g"))
+    parts = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.expr("approx_top_k(h, 200, 4000)").alias("top")).collect()
+    total, counts = sum(p.n for p in parts), Counter()
+    for p in parts:
+        counts.update({x.item: x["count"] for x in p.top})
+    return [k for k, n in counts.items() if n * 400 >= total]
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int | None = None) -> DataFrame:
@@ -36,7 +46,7 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
 
     `small` is broadcast if it is measured to be within MAX_ROWS and MAX_BYTES.
     Beyond, both are shuffled, and any key of `big` may hold most rows: the keys
-    that hold a thousandth of them or more are split over `salts` partitions (as
+    that hold a hundredth of them or more are split over `salts` partitions (as
     many as the session shuffles into, unless given) by a hash of the whole row,
     and the rows of `small` of just these keys are repeated so often. Null keys
     match nothing; an empty side gives the usual result of the join; repeated rows
