@@ -68,11 +68,12 @@ class KeyLedger:
 
         A row is new only if the ledger names it as the first arrival of its
         key, so rows meet the ledger by order and key: a frequent key is spread
-        over all tasks, and so is a frequent pair of both, as with many rows of
-        one key that state no order. Other columns are
+        over all tasks. Only many rows that share both, or state no order and have one
+        key, would meet in one; the plan leaves them to be split at run time, as a
+        shuffle of a left join that nothing pins down. Other columns are
         kept; a column `seen` that was there already gives way."""
         first = self.table().filter(F.col("batch") > 0).select("key", F.col("first_order").alias("__order"), F.lit(True).alias("__first"))
-        met = attach(rows.withColumn("__order", _order(F.col("order"))), first, ["__order", "key"], "left")
+        met = rows.withColumn("__order", _order(F.col("order"))).join(first, ["__order", "key"], "left")
         return met.withColumn("seen", F.when(F.col("key").isNotNull(), F.col("__first").isNull())).select(*[c for c in rows.columns if c != "seen"], "seen")
 
     def drop(self) -> None:
