@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunk_ids import chunk_key, chunk_key_sql
@@ -36,9 +36,16 @@ def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return wrong_answers(seen_before(_arrivals(spark, d), _stored(spark, d)), _stored(spark, d))
 
 
+def utc_day(col: str) -> Column:
+    """The UTC date of a timestamp as yyyymmdd, whatever the time zone of the session."""
+    micros, day = F.unix_micros(col), F.lit(86_400_000_000)
+    date = F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int"))
+    return F.year(date) * 10_000 + F.month(date) * 100 + F.dayofmonth(date)
+
+
 def _tree_keys(spark: SparkSession, d: str) -> DataFrame:
     """tree_id, made_day and key of every item that has them."""
-    meta = table(spark, d, "index_meta").select("index_id", "tree_id", F.date_format("made_at", "yyyyMMdd").cast("int").alias("made_day"))
+    meta = table(spark, d, "index_meta").select("index_id", "tree_id", utc_day("made_at").alias("made_day"))
     items = table(spark, d, "index_items").select("index_id", chunk_key("chunk").alias("key")).filter(F.col("key").isNotNull())
     return attach(items, meta, ["index_id"])
 

@@ -159,3 +159,14 @@ def test_new_shares_from_sketches_alone(spark):
     got = sorted((r.made_day, r.day_estimate, r.new_estimate, r.first_day) for r in distinct.new_share_estimates(days_frame(spark, rows)).collect())
     for (day, own, new, first), want in zip(got, (5000, 3000, 3000)):
         assert abs(own / 5000 - 1) < 0.06 and abs(new / want - 1) < 0.12 and first == (day == 0)
+
+
+def test_utc_day(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            rows = spark.sql("SELECT timestamp_micros(x) AS t FROM VALUES (1514764799999999), (1514764800000000), (-1), (0), (null) AS v(x)")
+            assert [r.d for r in rows.select(queries.utc_day("t").alias("d")).collect()] == [20171231, 20180101, 19691231, 19700101, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
