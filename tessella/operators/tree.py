@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as ff
-from .lookup import attach
 
 # Fixed values of the archive format.
 MAX_NAME, MAX_TARGET, MAX_USER, MAX_LABEL = 255, 4095, 255, 4095

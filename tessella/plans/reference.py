@@ -9,7 +9,6 @@ from ..functions import features as ff
 from ..functions import listing, locations, locators, sizes
 from ..functions.cdc import ChunkSizes
 from ..functions.chunk_ids import chunk_key, chunk_key_sql, format_id, store_path
-from ..functions.digests import digest
 from ..operators import cache, chunking, index, store, tree
 from ..operators.eager import sized_items
 from ..operators.lookup import attach
