@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunk_ids import MAX_CHUNK
 from .eager import sized_items
+from .lookup import attach
 
 # Fixed values of the index format: bytes of the header, of the table header, of an item and of the tail.
 HEADER, TABLE_HEADER, ITEM, TAIL = 48, 16, 40, 40
@@ -24,13 +25,19 @@ def index_totals(items: DataFrame) -> DataFrame:
 
 
 def violations(items: DataFrame, meta: DataFrame | None = None, most: int = MAX_CHUNK) -> DataFrame:
-    """index_id, pos, rule of what is wrong with items: no_id, no_offset, offset_not_increasing, too_large."""
-    sized = sized_items(items)
+    """index_id, pos, rule of what is wrong with items: no_id, offset_not_increasing, too_large, size_unknown.
+
+    Too large is an item above the `chunk_max` that `meta` (index_id, chunk_max) has of its
+    index, or above `most` if there is none."""
+    sized, limit = sized_items(items), F.lit(most)
+    if meta is not None:
+        sized = attach(sized, meta.groupBy("index_id").agg(F.min("chunk_max").alias("chunk_max")), ["index_id"], "left")
+        limit = F.coalesce(F.col("chunk_max"), limit)
     rules = F.array_compact(
         F.array(
             F.when(F.col("key").isNull(), "no_id"),
             F.when(F.col("size") <= 0, "offset_not_increasing"),
-            F.when(F.col("size") > most, "too_large"),
+            F.when(F.col("size") > limit, "too_large"),
             F.when(F.col("size").isNull(), "size_unknown"),
         )
     )

@@ -102,7 +102,7 @@ def index_totals(spark, d):
 
 def index_violations(spark, d):
     """What is wrong with which items."""
-    return index.violations(table(spark, d, "index_items"))
+    return index.violations(table(spark, d, "index_items"), table(spark, d, "index_meta"))
 
 
 def chunk_at_offset(spark, d):
