@@ -220,51 +220,57 @@ def size_texts(spark, d):
 
 
 def _entries(spark, d):
-    from pyspark.sql import Window
-
-    latest = Window.partitionBy("tree_id").orderBy(F.desc("snap_no"))
-    snaps = table(spark, d, "snapshots").withColumn("k", F.row_number().over(latest)).filter("k = 1").select("snapshot_id", "tree_id")
-    rows = attach(table(spark, d, "locations"), snaps, ["snapshot_id"]).select("tree_id", canonical_path("path").alias("path"), "designator", "size", "mtime", "inode", "generation", "start_offset", "delivered_at")
-    one = rows.groupBy("tree_id", "path").agg(F.max(F.struct("delivered_at", "designator", "size", "mtime", "inode", "generation", "start_offset")).alias("r")).select("tree_id", "path", "r.*").drop("delivered_at")
+    """The entries of every snapshot, each path once."""
+    rows = attach(table(spark, d, "locations"), table(spark, d, "snapshots").select("snapshot_id").distinct(), ["snapshot_id"], "left_semi").select("snapshot_id", canonical_path("path").alias("path"), "designator", "size", "mtime", "inode", "generation", "start_offset", "delivered_at")
+    one = rows.groupBy("snapshot_id", "path").agg(F.max(F.struct("delivered_at", "designator", "size", "mtime", "inode", "generation", "start_offset")).alias("r")).select("snapshot_id", "path", "r.*").drop("delivered_at")
     kind = F.when(F.col("designator") == "e", "dir").otherwise("file")
     mode = F.when(F.col("designator") == "e", 0o040000).otherwise(0o100000).bitwiseOR(F.coalesce(F.pmod("inode", F.lit(4096)), F.lit(0o644)).cast("int"))
     return one.withColumns({"kind": kind, "mode": mode})
 
 
+def _trees(spark, d):
+    """The same, each snapshot being a tree by itself, as the tree operators have it."""
+    return _entries(spark, d).withColumnRenamed("snapshot_id", "tree_id")
+
+
+def _by_snapshot(df):
+    return df.withColumnRenamed("tree_id", "snapshot_id")
+
+
 def list_latest(spark, d):
-    """The listing of the latest snapshot of every tree; permissions stand for the inode, which the records have, as they have no mode."""
-    return _entries(spark, d).select("tree_id", "path", listing.list_line(F.col("mode"), F.col("path")).alias("line"))
+    """The listing of every snapshot; permissions stand for the inode, which the records have, as they have no mode."""
+    return _entries(spark, d).select("snapshot_id", "path", listing.list_line(F.col("mode"), F.col("path")).alias("line"))
 
 
 def manifest_latest(spark, d):
     """Manifest lines of the same entries."""
     line = listing.mtree_line(F.col("path"), F.col("mode"), size=F.col("size"), mtime_ns=F.col("mtime"))
-    return _entries(spark, d).select("tree_id", "path", line.alias("line"))
+    return _entries(spark, d).select("snapshot_id", "path", line.alias("line"))
 
 
 def entry_violations(spark, d):
-    """Entries of the latest snapshots that no archive could hold."""
-    return tree.entry_violations(_entries(spark, d).withColumnRenamed("mtime", "mtime_ns"))
+    """Entries of all snapshots that no archive could hold."""
+    return _by_snapshot(tree.entry_violations(_trees(spark, d).withColumnRenamed("mtime", "mtime_ns")))
 
 
 EXCLUDES = "*.tmp\n*.gz\n!report*.gz\n/cache/\n/doc/logs/*.py\ndrafts/\n"
 
 
 def excluded_paths(spark, d):
-    """Entries of the latest snapshots that a set of exclude patterns takes out."""
-    return tree.excluded(_entries(spark, d), tree.parse_patterns(EXCLUDES))
+    """Entries of all snapshots that a set of exclude patterns takes out."""
+    return _by_snapshot(tree.excluded(_trees(spark, d), tree.parse_patterns(EXCLUDES)))
 
 
 def walk_order(spark, d):
-    """The place of every entry of the latest snapshots in the walk of its tree."""
-    placed = running_total(_entries(spark, d).select("tree_id", "path", tree.tree_order(F.col("path")).alias("key")), ["tree_id"], ["key"], name="place")
-    return placed.select("tree_id", "place", "path")
+    """The place of every entry of every snapshot in the walk of its tree."""
+    placed = running_total(_entries(spark, d).select("snapshot_id", "path", tree.tree_order(F.col("path")).alias("key")), ["snapshot_id"], ["key"], name="place")
+    return placed.select("snapshot_id", "place", "path")
 
 
 def folder_tables(spark, d):
-    """Names in each folder of the latest snapshots, and whether its search tree holds them all."""
-    entries = _entries(spark, d).select("tree_id", "path", F.coalesce("start_offset", F.lit(0)).alias("start"), F.coalesce("size", F.lit(0)).alias("size"))
-    return tree.name_tables(entries).select("tree_id", "parent", F.size("items").alias("names"))
+    """Names in each folder of every snapshot, and whether its search tree holds them all."""
+    entries = _trees(spark, d).select("tree_id", "path", F.coalesce("start_offset", F.lit(0)).alias("start"), F.coalesce("size", F.lit(0)).alias("size"))
+    return _by_snapshot(tree.name_tables(entries).select("tree_id", "parent", F.size("items").alias("names")))
 
 
 def location_texts(spark, d):
@@ -332,19 +338,19 @@ def make_documents(spark, d):
 
 
 def tree_archives(spark, d):
-    """Size and digest of an archive of the latest snapshot of every tree; the records have no contents, so files are empty in it."""
+    """Size and digest of an archive of every snapshot; the records have no contents, so files are empty in it."""
     from ..sources.archives import archive_parts
 
-    parts = archive_parts(tree.with_folders(_entries(spark, d).filter(F.col("path") != "")))
-    return chunking.stream_digest(parts, ["tree_id"], "start")
+    parts = archive_parts(tree.with_folders(_trees(spark, d).filter(F.col("path") != "")))
+    return _by_snapshot(chunking.stream_digest(parts, ["tree_id"], "start"))
 
 
 def archive_round_trip(spark, d):
     """Entries of those archives as they are read back, by kind."""
     from ..sources.archives import archives, unpacked
 
-    entries = tree.with_folders(_entries(spark, d).filter(F.col("path") != ""))
-    return unpacked(archives(entries), with_content=False).groupBy("tree_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    entries = tree.with_folders(_trees(spark, d).filter(F.col("path") != ""))
+    return _by_snapshot(unpacked(archives(entries), with_content=False).groupBy("tree_id", "kind").agg(F.count(F.lit(1)).alias("n")))
 
 
 _I = f"(SELECT arrival_no, index_id, pos, end_offset, {chunk_key_sql('chunk')} AS k FROM index_items)"
