@@ -249,7 +249,7 @@ def name_tables(entries: DataFrame) -> DataFrame:
 
 
 def with_folders(entries: DataFrame) -> DataFrame:
-    """tree_id, path, kind with the folders, and the top, that paths imply but no entry stands for."""
+    """The entries with the folders, and the top, that paths imply but no entry stands for; other columns of these are null."""
     above = F.concat(F.array(F.lit("")), ancestors(F.col("path"), own=False))
     implied = entries.select("tree_id", F.explode(above).alias("path")).distinct().join(entries.select("tree_id", "path"), ["tree_id", "path"], "left_anti")
-    return entries.select("tree_id", "path", "kind").unionByName(implied.withColumn("kind", F.lit("dir")))
+    return entries.unionByName(implied.withColumn("kind", F.lit("dir")), allowMissingColumns=True)

@@ -337,20 +337,30 @@ def make_documents(spark, d):
     return make_blobs(_blobs(spark, d), options=Options(sizes=SMALL)).report
 
 
+def _archived(spark, d):
+    """What the archives of the snapshots hold: all that the records tell of an entry, with folders that no record stands for."""
+    entries = _trees(spark, d).filter((F.col("path") != "") | (F.col("kind") == "dir"))
+    return tree.with_folders(entries.select("tree_id", "path", "kind", "mode", F.col("mtime").alias("mtime_ns")))
+
+
 def tree_archives(spark, d):
     """Size and digest of an archive of every snapshot; the records have no contents, so files are empty in it."""
     from ..sources.archives import archive_parts
 
-    parts = archive_parts(tree.with_folders(_trees(spark, d).filter(F.col("path") != "")))
+    parts = archive_parts(_archived(spark, d))
     return _by_snapshot(chunking.stream_digest(parts, ["tree_id"], "start"))
 
 
 def archive_round_trip(spark, d):
-    """Entries of those archives as they are read back, by kind."""
+    """Entries of those archives as they are read back, by kind, and how many have the mode and mtime that went in; unknown ones are stored as 0."""
     from ..sources.archives import archives, unpacked
 
-    entries = tree.with_folders(_trees(spark, d).filter(F.col("path") != ""))
-    return _by_snapshot(unpacked(archives(entries), with_content=False).groupBy("tree_id", "kind").agg(F.count(F.lit(1)).alias("n")))
+    entries = _archived(spark, d)
+    back = unpacked(archives(entries), with_content=False).select("tree_id", "path", "kind", F.col("mode").alias("__mode"), F.col("mtime_ns").alias("__mtime"))
+    stored = lambda c: F.coalesce(F.col(c), F.lit(0))
+    same = (F.col("__mode").bitwiseAND(0o7777) == stored("mode").bitwiseAND(0o7777)) & (F.col("__mtime") == stored("mtime_ns"))
+    met = back.join(entries.drop("kind"), ["tree_id", "path"], "left")
+    return _by_snapshot(met.groupBy("tree_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same")))
 
 
 _I = f"(SELECT arrival_no, index_id, pos, end_offset, {chunk_key_sql('chunk')} AS k FROM index_items)"

@@ -251,7 +251,7 @@ def archive_parts(entries: DataFrame, features: int = ff.DEFAULT) -> DataFrame:
                 rows.append((e["tree_id"], e["path"], e["kind"], len(first), first + entry_records(e, features)))
             yield pd.DataFrame(rows, columns=["tree_id", "path", "kind", "entry_at", "data"])
 
-    nodes = written(entries.select("tree_id", *have).mapInPandas(records, f"tree_id {kind}, path string, kind string, entry_at long, data binary"), "records")
+    nodes = written(_whole_numbers(entries.select("tree_id", *have)).mapInPandas(records, f"tree_id {kind}, path string, kind string, entry_at long, data binary"), "records")
     step = F.transform(F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/")), lambda x: F.struct(F.lit(0).alias("last"), x.cast("binary").alias("name")))
     names = nodes.filter(F.col("path") != "").groupBy("tree_id", parent_path(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("names"))
     tables = nodes.filter(F.col("kind") == "dir").join(names, ["tree_id", "path"], "left").select("tree_id", "path", "kind", F.lit(True).alias("table"), (F.coalesce("names", F.lit(0)) * 24 + 40).alias("size"), F.lit(0).cast("long").alias("entry_at"), F.concat(step, F.array(F.struct(F.lit(1).alias("last"), F.lit(b"").alias("name")))).alias("key"))
@@ -275,6 +275,11 @@ def archive_parts(entries: DataFrame, features: int = ff.DEFAULT) -> DataFrame:
     return at.select("tree_id", "path", "start").join(nodes.select("tree_id", "path", "data"), ["tree_id", "path"]).select("tree_id", "start", "data").unionByName(ends)
 
 
+def _whole_numbers(entries: DataFrame) -> DataFrame:
+    """Nulls as the 0 that they are stored as: beside nulls pandas takes numbers as floats, which lose the last digits of times."""
+    return entries.withColumns({c: F.coalesce(c, F.lit(0).cast(entries.schema[c].dataType)) for c in ("mode", "flags", "uid", "gid", "mtime_ns") if c in entries.columns})
+
+
 def _plain_rows(b: pd.DataFrame) -> list[dict]:
     rows = b.astype(object).where(b.notna(), None).to_dict("records")
     for r in rows:
@@ -329,7 +334,7 @@ def archives(entries: DataFrame, features: int = ff.DEFAULT) -> DataFrame:
         rows.sort(key=lambda r: [_name(x) for x in r["path"].split("/")] if r["path"] else [])
         return pd.DataFrame({"tree_id": [part["tree_id"].iloc[0]], "archive": [b"".join(encode_tree(rows, features))]})
 
-    return entries.select("tree_id", *have).groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, archive binary")
+    return _whole_numbers(entries.select("tree_id", *have)).groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, archive binary")
 
 
 def unpacked(archives: DataFrame, with_content: bool = True) -> DataFrame:

@@ -4,8 +4,9 @@ import pytest
 from conftest import SMOKE
 from oracle import connect, rows
 
-from tessella.operators import index
+from tessella.operators import index, tree
 from tessella.plans import reference
+from tessella.sources import archives
 
 SMALL = "/root/testdata/sf0.01"
 KEY = "ab" * 32
@@ -46,3 +47,24 @@ def test_archives_of_every_snapshot(spark):
     made = reference.QUERIES["tree_archives"](spark, SMOKE).select("snapshot_id").collect()
     held = connect(SMOKE).sql("SELECT DISTINCT snapshot_id FROM locations JOIN snapshots USING (snapshot_id)").fetchall()
     assert sorted(r[0] for r in made) == sorted(r[0] for r in held) and len(made) == 40
+
+
+def test_archives_keep_modes_and_times(spark):
+    at = 1516216652243940905
+    rows = [(t, p, k, m, x) for t in (1, 2, 3) for p, k, m, x in [("a", "dir", 0o755, at + 2), ("a/f", "file", 0o640 + (t == 2), at + (t == 3)), ("b/g", "file", None, None)]]
+    full = tree.with_folders(spark.createDataFrame(rows, "tree_id long, path string, kind string, mode int, mtime_ns long"))
+    made = archives.archives(full)
+    got = {(r.tree_id, r.path): (r.mode & 0o7777, r.mtime_ns) for r in archives.unpacked(made).collect()}
+    assert got == {(t, p): (m or 0, x or 0) for t, p, _, m, x in rows} | {(t, p): (0, 0) for t in (1, 2, 3) for p in ("", "b")}
+    whole = {r.tree_id: bytes(r.archive) for r in made.collect()}
+    parts = {}
+    for r in sorted(archives.archive_parts(full).collect(), key=lambda r: (r.tree_id, r.start)):
+        parts[r.tree_id] = parts.get(r.tree_id, b"") + bytes(r.data)
+    assert parts == whole and len(set(whole.values())) == 3
+
+
+def test_round_trip_of_modes_and_times(spark):
+    got = reference.QUERIES["archive_round_trip"](spark, SMALL).collect()
+    assert got and all(r.same == r.n for r in got)
+    read = archives.unpacked(archives.archives(reference._archived(spark, SMOKE)), with_content=False)
+    assert read.filter("mtime_ns > 0").count() > 700 and read.filter("mode & 4095 > 0").count() > 700
