@@ -227,6 +227,41 @@ def test_streamed_chunks_equal_batch(spark, tmp_path):
         assert all(x.chunk_id == hashlib.sha256(d[x.start : x.end]).hexdigest() for x in own)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_parts_in_any_order(spark, tmp_path, seed):
+    r = random.Random(seed)
+    whole = {"a": r.randbytes(12_000), "b": b"\0" * 3000, "c": r.randbytes(50)}
+    rows = []
+    for s, d in whole.items():
+        places = sorted(r.sample(range(len(d) + 1), 7))
+        rows += [(s, k, d[i:j], j == len(d) and k == 7) for k, (i, j) in enumerate(zip([0, *places], [*places, len(d)]))]
+    # The order of the probe first: 0, 2, 1, 3 in four batches; then any order, parts delivered again between and after.
+    batches = [[x for x in rows if x[1] == k] for k in (0, 2, 1, 3)] + [[x for x in rows if x[1] > 3]] if seed == 0 else []
+    if not batches:
+        mixed = rows + r.sample(rows, 6)
+        r.shuffle(mixed)
+        batches = [mixed[k : k + 5] for k in range(0, len(mixed), 5)]
+    batches.append([x for x in rows if x[3]])  # the last parts once more
+    at = tmp_path / "in"
+    for b in batches:
+        spark.createDataFrame(b, "stream_id string, seq long, data binary, last boolean").coalesce(1).write.mode("append").parquet(str(at))
+        time.sleep(0.02)
+    source = spark.readStream.schema("stream_id string, seq long, data binary, last boolean").option("maxFilesPerTrigger", 1).parquet(str(at))
+    got = drain(spark, chunker.chunk_stream(source, S), f"ordered{seed}", tmp_path)
+    for s, d in whole.items():
+        own = sorted((x for x in got if x.stream_id == s), key=lambda x: x.pos)
+        assert [x.end for x in own] == chunk_ends(d, S) and sum(x.size for x in own) == len(d)
+        assert all(x.chunk_id == hashlib.sha256(d[x.start : x.end]).hexdigest() for x in own)
+
+
+@pytest.mark.parametrize("bad", [[("a", None, b"x", False)], [("a", 0, b"x", True), ("a", 1, b"y", False)]])
+def test_parts_without_a_place_are_errors(spark, tmp_path, bad):
+    spark.createDataFrame(bad, "stream_id string, seq long, data binary, last boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("stream_id string, seq long, data binary, last boolean").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="has no number|behind its last"):
+        drain(spark, chunker.chunk_stream(source, S), f"bad{len(bad)}", tmp_path)
+
+
 def test_frames():
     cid = bytes(range(32))
     frames = [exchange.encode_frame("hello", 0x41), exchange.encode_frame("index", data=b"abc"), exchange.encode_frame("index-eof"), exchange.encode_frame("request", 1, cid + cid), exchange.encode_frame("chunk", 1, cid, b"d"), exchange.encode_frame("missing", chunk=cid), exchange.encode_frame("abort", 2, data=b"why\0"), exchange.encode_frame("goodbye")]
