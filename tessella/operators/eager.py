@@ -36,7 +36,7 @@ def eager_join_totals(left: DataFrame, right: DataFrame, on: list[str], left_sum
 
 
 def sized_items(items: DataFrame) -> DataFrame:
-    """index_id, pos, key and size of each (index_id, pos), taken once.
+    """index_id, pos, key, size and end_offset of each (index_id, pos), taken once.
 
     The size is the end offset less that of pos - 1 in the same index (less 0 at
     pos 0); null if either is missing. Of an item delivered more than once the
@@ -60,7 +60,7 @@ def sized_items(items: DataFrame) -> DataFrame:
         .select("index_id", "block", "pos", "r.end_offset", "r.key")
         .withColumn("size", F.col("end_offset") - before)
         .filter(F.col("block") == block)
-        .select("index_id", "pos", "key", "size")
+        .select("index_id", "pos", "key", "size", "end_offset")
     )
 
 
@@ -93,7 +93,7 @@ def unusual_items(items: DataFrame) -> DataFrame:
     most a thousand, are judged by a broadcast of that bounded list; only items
     of smaller groups are shuffled, so no task gets more than its share.
     """
-    sized = written(sized_items(items).dropna(subset=["key", "size"]), "sized")
+    sized = written(sized_items(items).dropna(subset=["key", "size"]).drop("end_offset"), "sized")
     states = size_states(sized)
     judged = written(states.join(chunk_states(states).select("key", "usual_size"), "key"), "size-states")
     total = judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

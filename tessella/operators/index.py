@@ -46,8 +46,8 @@ def violations(items: DataFrame, meta: DataFrame | None = None, most: int = MAX_
 
 def spans(items: DataFrame) -> DataFrame:
     """index_id, pos, start, end, key of the items whose size is known and positive."""
-    once = items.dropna(subset=["index_id", "pos"]).groupBy("index_id", "pos").agg(F.min(F.struct(F.isnull("end_offset").alias("a"), "arrival_no", "end_offset")).alias("r")).select("index_id", "pos", F.col("r.end_offset").alias("end"))
-    return sized_items(items).filter(F.col("size") > 0).join(once, ["index_id", "pos"]).select("index_id", "pos", (F.col("end") - F.col("size")).alias("start"), "end", "key")
+    sized = sized_items(items).filter(F.col("size") > 0)
+    return sized.select("index_id", "pos", (F.col("end_offset") - F.col("size")).alias("start"), F.col("end_offset").alias("end"), "key")
 
 
 def chunks_at(items: DataFrame, offsets: DataFrame, cell: int = 1 << 20) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
+
 #: Most rows and bytes of values that are ever broadcast.
 MAX_ROWS, MAX_BYTES = 500_000, 32 << 20
 
@@ -50,10 +52,13 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     many as the session shuffles into, unless given) by a hash of the whole row,
     and the rows of `small` of just these keys are repeated so often. Null keys
     match nothing; an empty side gives the usual result of the join; repeated rows
-    of `small` multiply as in any join.
+    of `small` multiply as in any join. Measuring needs `small` more than once and finding
+    heavy keys `big`: one that is more than a filtered table is written first.
     """
+    small = settled(small, "lookup")
     if fits(small):
         return big.join(F.broadcast(small), on, how)
+    big = settled(big, "looked-up")
     salts = salts or max(16, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heavy = heavy_hashes(big, on)
     key = F.xxhash64(*[F.col(f"`{c}`") for c in on])

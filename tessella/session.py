@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -33,10 +34,13 @@ def build_session(cores: int | str = 8, app: str = "tessella", **extra: str) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only where
-    it is unset (tests, a single machine) a local one is made for the session."""
+    it is unset and the session is local (tests, a single machine) one is made on this
+    machine for the session; on a cluster the setting is needed."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tessella-")
@@ -83,10 +87,37 @@ def spread(df: DataFrame) -> DataFrame:
     only one that a few tasks would read is repartitioned."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-        tasks = max(len(df.inputFiles()), size // part)
-    except Exception:
-        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    tasks = max(len(df.inputFiles()), size // part)
     return df.repartition(cores) if 0 < tasks < cores else df
+
+
+#: Steps of a plan that cost no more than reading a table.
+_LIGHT = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "Union", "OneRowRelation", "DataSourceV2ScanRelation"}
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` itself if it only reads, filters and projects tables, else as a table in the
+    shared folder, so that a plan which needs it more than once doesn't compute it again."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().split()[0] not in _LIGHT and plan.getClass().getSimpleName() not in _LIGHT:
+            return written(df, name)
+        children = plan.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return df
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with `values` for what is run within; the ones before come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 
+import pytest
 from conftest import ROOT
 from pyspark.sql import functions as F
 
@@ -70,3 +71,30 @@ def test_shared_dir_follows_the_setting(tmp_path):
         "assert session.written(spark.range(3), 'y').count() == 3 and os.listdir(sys.argv[1])\n"
     )
     subprocess.run([sys.executable, "-c", code, str(tmp_path)], cwd=ROOT, check=True, timeout=240)
+
+
+def test_a_cluster_needs_the_setting():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_what_is_more_than_a_table_is_settled_once(spark, tmp_path):
+    spark.range(9).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    light, heavy = df.filter("id > 3"), df.groupBy("id").count()
+    assert session.settled(light, "light") is light and "light" not in str(light.inputFiles())
+    assert all("/heavy-" in f for f in session.settled(heavy, "heavy").inputFiles()) and session.settled(heavy, "heavy").count() == 9
+
+
+def test_settings_come_back(spark):
+    with session.settings(spark, {"spark.sql.shuffle.partitions": "3", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"

@@ -76,6 +76,14 @@ def test_sizes_across_blocks(spark):
     assert got == {p: 10 for p in range(2 * BLOCK + 5)}
 
 
+def test_spans_of_items_delivered_again(spark):
+    from tessella.operators import index
+
+    rows = [(0, 1, 0, 100, K[0]), (1, 1, 1, 999, "broken"), (2, 1, 1, 300, K[1]), (3, 1, 2, None, K[2]), (4, 1, 3, 500, K[3]), (5, 1, 2, 400, "broken")]
+    got = {(r.pos, r.start, r.end) for r in index.spans(items_of(spark, rows)).collect()}
+    assert got == {(0, 0, 100), (1, 100, 300)}
+
+
 def test_unusual_items_of_nothing(spark):
     assert unusual_items(items_of(spark, [])).collect() == []
     only_broken = [(1, 1, 0, 5, None), (2, None, None, None, K[1]), (3, 2, 1, 5, K[1])]
