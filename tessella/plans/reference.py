@@ -237,12 +237,12 @@ def _by_snapshot(df):
     return df.withColumnRenamed("tree_id", "snapshot_id")
 
 
-def list_latest(spark, d):
+def list_snapshots(spark, d):
     """The listing of every snapshot; permissions stand for the inode, which the records have, as they have no mode."""
     return _entries(spark, d).select("snapshot_id", "path", listing.list_line(F.col("mode"), F.col("path")).alias("line"))
 
 
-def manifest_latest(spark, d):
+def manifest_snapshots(spark, d):
     """Manifest lines of the same entries."""
     line = listing.mtree_line(F.col("path"), F.col("mode"), size=F.col("size"), mtime_ns=F.col("mtime"))
     return _entries(spark, d).select("snapshot_id", "path", line.alias("line"))
@@ -373,9 +373,8 @@ _FIXED = f"""h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE st
   c AS (SELECT doc_id, pos, sha256(unhex(substr(x, pos * {2 * FIXED} + 1, {2 * FIXED}))) AS chunk_id, len(substr(x, pos * {2 * FIXED} + 1, {2 * FIXED})) // 2 AS size FROM f)"""
 _MAIN, _EXTRA = "SELECT DISTINCT k FROM " + _S + " WHERE store_id = 'default.castr'", "SELECT DISTINCT k FROM " + _S + " WHERE store_id = 'extra.castr'"
 _CANON = "array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/')"
-_ENTRIES = f"""latest AS (SELECT snapshot_id, tree_id FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY snap_no DESC) AS k FROM snapshots) WHERE k = 1),
-  rec AS (SELECT tree_id, {_CANON} AS path, designator, size, mtime, inode, start_offset, delivered_at FROM locations JOIN latest USING (snapshot_id)),
-  entries AS (SELECT tree_id, path, r.d AS designator, r.s AS size, r.m AS mtime, r.i AS inode FROM (SELECT tree_id, path, arg_max(struct_pack(d := designator, s := size, m := mtime, i := inode), delivered_at) AS r FROM rec GROUP BY ALL)),
+_ENTRIES = f"""rec AS (SELECT snapshot_id, {_CANON} AS path, designator, size, mtime, inode, start_offset, delivered_at FROM locations WHERE snapshot_id IN (SELECT snapshot_id FROM snapshots)),
+  entries AS (SELECT snapshot_id, path, r.d AS designator, r.s AS size, r.m AS mtime, r.i AS inode, r.o AS start_offset FROM (SELECT snapshot_id, path, arg_max(struct_pack(d := designator, s := size, m := mtime, i := inode, o := start_offset), delivered_at) AS r FROM rec GROUP BY ALL)),
   moded AS (SELECT *, coalesce(inode % 4096, 420) AS perm FROM entries)"""
 _LINE = """CASE WHEN designator = 'e' THEN 'd' ELSE '-' END
   || CASE WHEN perm & 256 > 0 THEN 'r' ELSE '-' END || CASE WHEN perm & 128 > 0 THEN 'w' ELSE '-' END
@@ -397,7 +396,7 @@ QUERIES = {
     for f in (
         fixed_chunk_totals, fixed_chunk_reuse, fixed_index, payload_digests, content_chunk_totals, content_index, content_index_of_segments, chunk_size_histogram, source_stream_digests, round_trip, byte_range,
         index_sizes, index_totals, index_violations, chunk_at_offset, range_of_indices, collection_usage, gc_plan, gc_totals, prefetch, present_items, push_missing, store_after_put, store_tombstones,
-        resolve_providers, resolve_items, seed_delta, covering_flags, flag_names, locator_classes, locator_siblings, size_texts, list_latest, manifest_latest, entry_violations, excluded_paths, walk_order,
+        resolve_providers, resolve_items, seed_delta, covering_flags, flag_names, locator_classes, locator_siblings, size_texts, list_snapshots, manifest_snapshots, entry_violations, excluded_paths, walk_order,
         folder_tables, location_texts, location_ids, cache_run, extract_deletes, hardlink_groups, reflink_bytes, codec_report, make_documents, tree_archives, archive_round_trip,
     )
 }
@@ -415,7 +414,7 @@ ORACLE = {
     "index_sizes": f"WITH {_SIZED} SELECT index_id, pos, k AS chunk_id, size FROM sized",
     "index_totals": "SELECT index_id, count(DISTINCT pos) AS chunks, max(end_offset) AS blob_size, 104 + 40 * count(DISTINCT pos) AS index_size FROM index_items WHERE index_id IS NOT NULL AND pos IS NOT NULL GROUP BY 1",
     "index_violations": f"""WITH {_SIZED} SELECT index_id, pos, 'no_id' AS rule FROM sized WHERE k IS NULL UNION ALL SELECT index_id, pos, 'offset_not_increasing' FROM sized WHERE size <= 0
-        UNION ALL SELECT index_id, pos, 'too_large' FROM sized WHERE size > 134217728 UNION ALL SELECT index_id, pos, 'size_unknown' FROM sized WHERE size IS NULL""",
+        UNION ALL SELECT index_id, pos, 'too_large' FROM sized LEFT JOIN (SELECT index_id, min(chunk_max) AS chunk_max FROM index_meta GROUP BY 1) USING (index_id) WHERE size > coalesce(chunk_max, 134217728) UNION ALL SELECT index_id, pos, 'size_unknown' FROM sized WHERE size IS NULL""",
     "chunk_at_offset": f"""WITH {_SPANS}, o AS (SELECT index_id, unnest(range(0, n, 1048576)) AS o FROM (SELECT index_id, max(end_offset) AS n FROM index_items GROUP BY 1) WHERE n > 0)
         SELECT index_id, o AS "offset", pos, o - a AS skip FROM o JOIN spans USING (index_id) WHERE a <= o AND o < b""",
     "range_of_indices": f"WITH {_SPANS} SELECT index_id, pos, greatest(a, 1000000) - a AS skip, least(b, 2000000) - greatest(a, 1000000) AS take FROM spans WHERE a < 2000000 AND b > 1000000",
@@ -449,16 +448,16 @@ ORACLE = {
         WHEN 'path' THEN CASE WHEN contains(locator, '/') THEN regexp_replace(locator, '/[^/]*$', '/default.castr') ELSE 'default.castr' END END AS store, coalesce(ends_with(locator, '-img'), false) AS is_image FROM trees""",
     "size_texts": """SELECT size, count(*) AS n, CASE WHEN size >= 1073741824 THEN (size // 1073741824)::VARCHAR || '.' || (size * 10 // 1073741824 % 10)::VARCHAR || 'G'
         WHEN size >= 1048576 THEN (size // 1048576)::VARCHAR || '.' || (size * 10 // 1048576 % 10)::VARCHAR || 'M' WHEN size >= 1024 THEN (size // 1024)::VARCHAR || '.' || (size * 10 // 1024 % 10)::VARCHAR || 'K' ELSE size::VARCHAR || 'B' END AS text FROM locations WHERE size IS NOT NULL GROUP BY size""",
-    "list_latest": f"WITH {_ENTRIES} SELECT tree_id, path, {_LINE} || ' ' || CASE WHEN path = '' THEN '.' ELSE {_ESCAPED} END AS line FROM moded",
-    "manifest_latest": f"""WITH {_ENTRIES} SELECT tree_id, path, concat_ws(' ', CASE WHEN path = '' THEN '.' ELSE {_ESCAPED} END, CASE WHEN designator = 'e' THEN 'type=dir' ELSE 'type=file' END, 'mode=' || (perm // 512)::VARCHAR || (perm // 64 % 8)::VARCHAR || (perm // 8 % 8)::VARCHAR || (perm % 8)::VARCHAR,
+    "list_snapshots": f"WITH {_ENTRIES} SELECT snapshot_id, path, {_LINE} || ' ' || CASE WHEN path = '' THEN '.' ELSE {_ESCAPED} END AS line FROM moded",
+    "manifest_snapshots": f"""WITH {_ENTRIES} SELECT snapshot_id, path, concat_ws(' ', CASE WHEN path = '' THEN '.' ELSE {_ESCAPED} END, CASE WHEN designator = 'e' THEN 'type=dir' ELSE 'type=file' END, 'mode=' || (perm // 512)::VARCHAR || (perm // 64 % 8)::VARCHAR || (perm // 8 % 8)::VARCHAR || (perm % 8)::VARCHAR,
         CASE WHEN designator <> 'e' THEN 'size=' || size::VARCHAR END, 'time=' || (mtime // 1000000000)::VARCHAR || '.' || lpad((mtime % 1000000000)::VARCHAR, 9, '0')) AS line FROM moded""",
-    "entry_violations": f"WITH {_ENTRIES} SELECT tree_id, path, 'file_without_payload' AS rule FROM entries WHERE designator <> 'e' AND size IS NULL UNION ALL SELECT tree_id, path, 'name_too_long' FROM entries WHERE strlen(regexp_extract(path, '[^/]*$')) > 255 UNION ALL SELECT tree_id, path, 'bad_name' FROM entries WHERE regexp_extract(path, '[^/]*$') = '..'",
-    "excluded_paths": rf"""WITH {_ENTRIES}, p AS (SELECT tree_id, path, designator, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM entries WHERE path <> ''),
-        s AS (SELECT tree_id, path, array_to_string(string_split(path, '/')[1:k], '/') AS anc, designator = 'e' OR k < len(string_split(path, '/')) AS is_dir FROM p), n AS (SELECT *, regexp_extract(anc, '[^/]*$') AS name FROM s)
-        SELECT DISTINCT tree_id, path FROM n WHERE (regexp_full_match(name, '[^.].*\.tmp|\.tmp') AND name[1] <> '.' OR regexp_full_match(name, '.*\.gz') AND name[1] <> '.' OR anc = 'cache' AND is_dir OR regexp_full_match(anc, 'doc/logs/[^/]*\.py') AND name[1] <> '.' OR anc = 'drafts' AND is_dir)
+    "entry_violations": f"WITH {_ENTRIES} SELECT snapshot_id, path, 'file_without_payload' AS rule FROM entries WHERE designator <> 'e' AND size IS NULL UNION ALL SELECT snapshot_id, path, 'name_too_long' FROM entries WHERE strlen(regexp_extract(path, '[^/]*$')) > 255 UNION ALL SELECT snapshot_id, path, 'bad_name' FROM entries WHERE regexp_extract(path, '[^/]*$') = '..'",
+    "excluded_paths": rf"""WITH {_ENTRIES}, p AS (SELECT snapshot_id, path, designator, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM entries WHERE path <> ''),
+        s AS (SELECT snapshot_id, path, array_to_string(string_split(path, '/')[1:k], '/') AS anc, designator = 'e' OR k < len(string_split(path, '/')) AS is_dir FROM p), n AS (SELECT *, regexp_extract(anc, '[^/]*$') AS name FROM s)
+        SELECT DISTINCT snapshot_id, path FROM n WHERE (regexp_full_match(name, '[^.].*\.tmp|\.tmp') AND name[1] <> '.' OR regexp_full_match(name, '.*\.gz') AND name[1] <> '.' OR anc = 'cache' AND is_dir OR regexp_full_match(anc, 'doc/logs/[^/]*\.py') AND name[1] <> '.' OR anc = 'drafts' AND is_dir)
           AND NOT regexp_full_match(name, 'report.*\.gz')""",
-    "walk_order": f"WITH {_ENTRIES} SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY list_transform(string_split(path, '/'), lambda x: hex(encode(x)))) - 1 AS place, path FROM entries",
-    "folder_tables": f"WITH {_ENTRIES} SELECT tree_id, regexp_replace(path, '/?[^/]*$', '') AS parent, CAST(count(*) AS INTEGER) AS names FROM entries WHERE path <> '' GROUP BY ALL",
+    "walk_order": f"WITH {_ENTRIES} SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY list_transform(string_split(path, '/'), lambda x: hex(encode(x)))) - 1 AS place, path FROM entries",
+    "folder_tables": f"WITH {_ENTRIES} SELECT snapshot_id, regexp_replace(path, '/?[^/]*$', '') AS parent, CAST(count(*) AS INTEGER) AS names FROM entries WHERE path <> '' GROUP BY ALL",
     "location_texts": f"""SELECT snapshot_id, {_CANON} AS path, {_CANON} || '+' || designator || start_offset::VARCHAR || CASE WHEN size > 0 THEN ':' || size::VARCHAR ELSE '' END
         || CASE WHEN mtime IS NULL THEN '' ELSE '@' || coalesce(inode, 0)::VARCHAR || '.' || mtime::VARCHAR || coalesce('.' || (generation::BIGINT & 4294967295)::VARCHAR, '') END AS text, true AS same FROM locations""",
     "location_ids": f"SELECT snapshot_id, path, {locations.location_id_sql('path', 'designator', 'start_offset', None, 'mtime', 'inode', 'generation')} AS location_id FROM locations",
@@ -472,8 +471,8 @@ ORACLE = {
     "reflink_bytes": f"""WITH {_SPANS}, k AS (SELECT * FROM spans WHERE k IS NOT NULL), f AS (SELECT k, arg_min(struct_pack(i := index_id, p := pos, a := a), (index_id, pos)) AS f FROM k GROUP BY k),
         m AS (SELECT k.index_id, k.a AS t, f.a AS s, k.b - k.a AS n FROM k JOIN f USING (k) WHERE k.index_id <> f.i OR k.pos <> f.p)
         SELECT index_id, CAST(sum(CASE WHEN t % 4096 = s % 4096 AND (t + n) // 4096 * 4096 > (t + 4095) // 4096 * 4096 THEN (t + n) // 4096 * 4096 - (t + 4095) // 4096 * 4096 ELSE 0 END) AS BIGINT) AS bytes FROM m GROUP BY 1""",
-    "archive_round_trip": f"""WITH {_ENTRIES}, e AS (SELECT DISTINCT tree_id, path, CASE WHEN designator = 'e' THEN 'dir' ELSE 'file' END AS kind FROM entries WHERE path <> ''),
-        a AS (SELECT DISTINCT tree_id, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT tree_id, path, unnest(range(0, len(string_split(path, '/')))) AS k FROM e)),
-        u AS (SELECT tree_id, path, kind FROM e UNION ALL SELECT tree_id, path, 'dir' FROM a ANTI JOIN e USING (tree_id, path)) SELECT tree_id, kind, count(*) AS n FROM u GROUP BY ALL""",
+    "archive_round_trip": f"""WITH {_ENTRIES}, e AS (SELECT DISTINCT snapshot_id, path, CASE WHEN designator = 'e' THEN 'dir' ELSE 'file' END AS kind FROM entries WHERE path <> ''),
+        a AS (SELECT DISTINCT snapshot_id, array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT snapshot_id, path, unnest(range(0, len(string_split(path, '/')))) AS k FROM e)),
+        u AS (SELECT snapshot_id, path, kind FROM e UNION ALL SELECT snapshot_id, path, 'dir' FROM a ANTI JOIN e USING (snapshot_id, path)) SELECT snapshot_id, kind, count(*) AS n, count(*) AS same FROM u GROUP BY ALL""",
     "codec_report": f"SELECT codec, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM {_S} WHERE k IS NOT NULL GROUP BY 1",
 }

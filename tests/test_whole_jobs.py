@@ -1,4 +1,4 @@
-"""Queries over the whole of their tables, by SQL of its own or the given SQL over other views."""
+"""Queries over the whole of their tables."""
 
 import pytest
 from conftest import SMOKE
@@ -25,24 +25,6 @@ def test_index_violations_of_too_large_items(spark):
     assert len(got) == 14 and got == rows(rel.columns, rel.fetchall())
 
 
-OF_SNAPSHOTS = ["list_latest", "manifest_latest", "entry_violations", "excluded_paths", "walk_order", "folder_tables", "archive_round_trip"]
-
-
-def by_given_sql(name, d):
-    """Rows of the given SQL, which takes the latest snapshot of each tree, over a view in which every snapshot is a tree by itself."""
-    con = connect(d)
-    con.execute(f"CREATE OR REPLACE VIEW snapshots AS SELECT * REPLACE (snapshot_id AS tree_id) FROM '{d}/snapshots.parquet'")
-    rel = con.sql(reference.ORACLE[name])
-    return ["snapshot_id" if c == "tree_id" else c for c in rel.columns], rel.fetchall()
-
-
-@pytest.mark.parametrize("name", OF_SNAPSHOTS)
-def test_every_snapshot_by_the_given_sql(spark, name):
-    columns, want = by_given_sql(name, SMALL)
-    df = reference.QUERIES[name](spark, SMALL).select(columns)
-    assert rows(columns, df.collect()) == rows(columns, want)
-
-
 def test_archives_of_every_snapshot(spark):
     made = reference.QUERIES["tree_archives"](spark, SMOKE).select("snapshot_id").collect()
     held = connect(SMOKE).sql("SELECT DISTINCT snapshot_id FROM locations JOIN snapshots USING (snapshot_id)").fetchall()
