@@ -76,22 +76,25 @@ def _decoded(body: str, head: dict[str, str]) -> str:
     return raw.decode("latin-1")
 
 
-def _plain(head: dict[str, str], rest: str, depth: int = 0) -> list[str]:
-    kind = head.get("content-type", "text/plain").lower()
-    boundary = _param(head.get("content-type", ""), "boundary")
-    if kind.startswith("multipart/") and boundary and depth < 20:
-        found: list[str] = []
-        marks = list(re.finditer(rf"^--{re.escape(boundary)}(--)?[ \t]*$", rest, re.M))
-        for k, m in enumerate(marks):
-            if m[1]:
-                break
-            end = marks[k + 1].start() if k + 1 < len(marks) else len(rest)
-            found += _plain(*_split(rest[m.end() + 1 : end]), depth + 1)
-        if marks:
-            return found
-    if depth and (not kind.strip().startswith("text/plain") or head.get("content-disposition", "").lower().startswith("attachment")):
-        return []
-    return [_decoded(rest, head)]
+def _plain(head: dict[str, str], rest: str) -> list[str]:
+    """The plain parts of a message in their order, however deep they are nested."""
+    found: list[str] = []
+    todo = [(head, rest, False)]
+    while todo:
+        head, rest, inner = todo.pop()
+        kind = head.get("content-type", "text/plain").lower()
+        boundary = _param(head.get("content-type", ""), "boundary")
+        if kind.startswith("multipart/") and boundary:
+            marks = list(re.finditer(rf"^--{re.escape(boundary)}(--)?[ \t]*$", rest, re.M))
+            last = next((k for k, m in enumerate(marks) if m[1]), len(marks))
+            if marks:
+                for k in reversed(range(last)):
+                    end = marks[k + 1].start() if k + 1 < len(marks) else len(rest)
+                    todo.append((*_split(rest[marks[k].end() + 1 : end]), True))
+                continue
+        if not inner or kind.strip().startswith("text/plain") and not head.get("content-disposition", "").lower().startswith("attachment"):
+            found.append(_decoded(rest, head))
+    return found
 
 
 def body_of(text: str | None) -> tuple[str, str]:

@@ -178,6 +178,14 @@ def test_body_of(raw, eol):
     assert words_of(body) == words_of(TEXT) and host == "x.test"
 
 
+@pytest.mark.parametrize("levels", [1, 20, 21, 200])
+def test_body_of_deep_messages(levels):
+    raw = f"Content-Type: text/plain\n\n{TEXT}\n"
+    for k in range(levels):
+        raw = f"Content-Type: multipart/mixed; boundary=b{k}x\n\n--b{k}x\nContent-Type: text/plain\n\nat {k}\n--b{k}x\n{raw}--b{k}x--\n"
+    assert body_of("From: a@x.test\n" + raw)[0].split("\n") == [*[x for k in reversed(range(levels)) for x in (f"at {k}", "")], *TEXT.split("\n"), ""]
+
+
 def test_body_of_odd_texts():
     assert body_of(None) == ("", "") and body_of("") == ("", "")
     assert body_of("no header here\nat all")[0] == "no header here\nat all"
