@@ -2,15 +2,18 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from conftest import SMOKE
 from oracle import compare
+from pyspark.sql import functions as F
 
 from tessella.llm import distinct, queries
 from tessella.llm.ledger import KeyLedger, seen_before, wrong_answers
 from tessella.llm.overlap import set_overlaps
+from tessella.session import settings
 
 SQL = sorted(k for k in queries.ORACLE if k[1] in "124")
 
@@ -80,6 +83,83 @@ def test_ledger_keeps_each_key_once(spark):
     ledger.drop()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def history_side(plan):
+    """Lines of a plan that stand above a scan of the ledger within its own branch: (sorts, exchanges)."""
+    lines = plan.splitlines()
+    depth = lambda x: len(re.match(r"(?:[ :]  )*(?:[+:]- )?", x)[0])
+    found = []
+    for k, line in enumerate(lines):
+        if "FileScan" in line and "ledger" in line:
+            at = depth(line)
+            for up in reversed(lines[:k]):
+                if depth(up) < at:
+                    at = depth(up)
+                    if "SortMergeJoin" in up:
+                        break
+                    found.append(up.strip())
+    return found
+
+
+def test_history_is_neither_sorted_nor_shuffled(spark):
+    ledger = KeyLedger(spark, buckets=3)
+    ledger.add_history(seen_frames(spark, [], range(50))[1])
+    for k in range(3):
+        ledger.take_in(seen_frames(spark, [(j, 100 * k + j) for j in range(40 * k, 40 * k + 60)], [])[0])
+    assert len(ledger.generations) == 4 and all(len(set(f.rsplit("_", 1)[1] for f in spark.table(g.table).inputFiles())) == len(spark.table(g.table).inputFiles()) for g in ledger.generations), "one file to a bucket"
+    with ledger._planned(), settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        plan = plan_of(ledger.new_keys(seen_frames(spark, [(7, 900), (500, 901)], [])[0]))
+        above = history_side(plan)
+        assert plan.count("SortMergeJoin") == 4 and above and not any("Sort " in x or "Exchange" in x for x in above), plan
+        # All that is sorted and shuffled is the batch: one exchange, one sort.
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("HashAggregate") == 2, plan
+    ledger.compact()
+    assert len(ledger.generations) < 4
+    ledger.drop()
+
+
+def test_compaction_keeps_all_and_a_ledger_can_be_opened_again(spark, tmp_path):
+    at, want = f"file://{tmp_path}/kept", {}
+    ledger = KeyLedger(spark, buckets=2, path=at)
+    ledger.add_history(seen_frames(spark, [], [1, 2, None])[1])
+    want |= {1: (None, 0), 2: (None, 0)}
+    for k in range(1, 12):
+        rows = [(j, 10 * k + j % 10) for j in range(k, 3 * k + 2)]
+        ledger.take_in(seen_frames(spark, rows, [])[0])
+        for j, o in sorted(rows, key=lambda r: r[1]):
+            want.setdefault(j, (o, k))
+        if k == 6:  # a failed batch leaves files behind that no manifest names; another session goes on
+            ledger._write(ledger.table().limit(1))
+            before = spark.catalog.listTables()
+            ledger.close()
+            assert not [t for t in spark.catalog.listTables() if t.name in {g.table for g in ledger.generations}] and before
+            ledger = KeyLedger(spark, buckets=99, path=at)
+            assert (ledger.buckets, ledger.batches) == (2, 6)
+    held = [(int.from_bytes(r.key, "big"), (r.first_order, r.batch)) for r in ledger.table().collect()]
+    assert dict(held) == want and len(held) == len(want) and len(ledger.generations) <= 8
+    assert {r.batch for r in ledger.table(since=10).collect()} == {b for _, b in want.values() if b >= 10}
+    ledger.drop()
+
+
+def test_nothing_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    a, b = seen_frames(spark, [(1, 1), (1, 2), (None, None), (2, None), (2, None)], [3])
+    judged = seen_before(a, b)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert {x.n: x.seen for x in judged.collect()} == {0: False, 1: True, 2: None, 3: False, 4: False}
+
+
+def test_hot_key_without_order_is_split(spark, force_shuffle):
+    a, b = seen_frames(spark, [(1, None)] * 3000 + [(k, None) for k in range(2, 40)] + [(2, 5)], [3])
+    got = seen_before(a, b).groupBy("seen").count().collect()
+    assert {r.seen: r["count"] for r in got} == {True: 2, False: 3037}
+    parts = seen_before(a, b).filter("order IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in parts) < 3000
+
+
 def test_overlaps_by_brute_force(spark):
     r = random.Random(3)
     rows = [(r.choice([None, *range(8)]), r.choice([None, 0, 0, *range(25)])) for _ in range(400)]
