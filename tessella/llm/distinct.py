@@ -24,6 +24,8 @@ from ..operators.lookup import attach
 from ..session import written
 
 P = 12
+#: Registers for deciding on days: more of them leave fewer days undecided, and a day has no more in use than keys.
+P_DAYS = 16
 #: First-order bias of the estimate is this over the number of registers (Ertl 2024).
 BIAS = 0.48147
 
@@ -131,7 +133,7 @@ def unpack(packed: DataFrame, by: list[str]) -> DataFrame:
     return each.select(*by, "register", (top + F.when(one, F.shiftrightunsigned(top, 1)).otherwise(zero) + F.when(two, F.shiftrightunsigned(top, 2)).otherwise(zero)).alias("state"))
 
 
-def new_share_estimates(rows: DataFrame, p: int = P) -> DataFrame:
+def new_share_estimates(rows: DataFrame, p: int = P_DAYS) -> DataFrame:
     """tree_id, made_day, day_estimate, new_estimate, total_estimate, first_day for
     each day of a tree: its distinct keys, those that no earlier day has, and all so far.
 
@@ -165,20 +167,34 @@ def new_share_estimates(rows: DataFrame, p: int = P) -> DataFrame:
     return spread.groupBy("tree_id").applyInPandas(tree, "tree_id long, made_day int, day_estimate double, new_estimate double, total_estimate double, first_day boolean")
 
 
-def new_days(rows: DataFrame, least: float = 0.6, z: float = 6.0, p: int = P) -> DataFrame:
-    """tree_id, made_day, n_keys, n_new of the days, other than the first of a
+def new_days(rows: DataFrame, least: float = 0.6, z: float = 6.0, p: int = P_DAYS) -> DataFrame:
+    """tree_id, made_day, n_keys, n_new, counted of the days, other than the first of a
     tree, of whose distinct keys at least the share `least` is on no earlier day.
 
-    The sketches choose the days whose estimated share isn't below `least` by
-    more than `z` standard errors; of the difference of nested sketches with
-    totals A < B these are at most sqrt(B^2 - A^2) / day times that of a sketch.
-    The chosen days are then counted exactly, of their own trees only. A day
-    is missed with a probability of about 1e-9."""
+    The sketches decide: a day whose estimated share differs from `least` by more
+    than `z` standard errors is in or out by it, and its numbers are the estimates. Of the difference of nested
+    sketches with totals A < B the standard error is at most sqrt(B^2 - A^2) / day times that of a sketch,
+    so what stays undecided grows with the total over the day, and shrinks with `p`.
+    Only the undecided days are counted (`counted`), and of their trees only the rows whose key is on
+    such a day are looked at. A day is judged wrongly with a probability of about 1e-9."""
     est = new_share_estimates(rows, p)
     day = F.greatest("day_estimate", F.lit(1.0))
     margin = z * standard_error(p) * (F.sqrt(2 * F.col("total_estimate") / day) + least)
-    chosen = written(est.filter(~F.col("first_day") & (F.col("new_estimate") / day >= least - margin)).select("tree_id", "made_day"), "chosen-days")
-    own = attach(rows.dropna(subset=["tree_id", "made_day", "key"]).select("tree_id", "made_day", "key"), chosen.select("tree_id").distinct(), ["tree_id"], "left_semi")
-    per_key = own.groupBy("tree_id", "key").agg(F.collect_set("made_day").alias("days"))
-    counted = per_key.select("tree_id", F.array_min("days").alias("first"), F.explode("days").alias("made_day")).groupBy("tree_id", "made_day").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("first") == F.col("made_day")).alias("n_new"))
-    return counted.join(chosen, ["tree_id", "made_day"], "left_semi").filter(F.col("n_new") >= least * F.col("n_keys"))
+    above = F.col("new_estimate") / day - least
+    judged = written(est.filter(~F.col("first_day") & (above >= -margin)).select("tree_id", "made_day", "day_estimate", "new_estimate", (above <= margin).alias("close")), "judged-days")
+    clear = judged.filter(~F.col("close")).select("tree_id", "made_day", F.round("day_estimate").cast("long").alias("n_keys"), F.round("new_estimate").cast("long").alias("n_new"), F.lit(False).alias("counted"))
+    counted = recounted(rows, judged.filter("close").select("tree_id", "made_day"))
+    return clear.unionByName(counted.filter(F.col("n_new") >= least * F.col("n_keys")).withColumn("counted", F.lit(True)))
+
+
+def recounted(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """tree_id, made_day, n_keys, n_new of the given days, exactly: the keys of a day, and those that are on no
+    earlier day of the tree.
+
+    The rows of the days are reduced to their keys, and all rows meet these: only those of the same tree
+    whose key is one of them go on to the first day of a key."""
+    seen = rows.dropna(subset=["tree_id", "made_day", "key"]).select("tree_id", "made_day", "key")
+    own = written(attach(seen, days, ["tree_id", "made_day"], "left_semi").distinct(), "day-keys")
+    keys = written(own.select("tree_id", "key").distinct(), "wanted-keys")
+    first = attach(seen, keys, ["tree_id", "key"], "left_semi").groupBy("tree_id", "key").agg(F.min("made_day").alias("first"))
+    return own.join(first, ["tree_id", "key"]).groupBy("tree_id", "made_day").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("first") == F.col("made_day")).alias("n_new"))

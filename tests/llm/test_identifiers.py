@@ -229,11 +229,29 @@ def days_frame(spark, rows):
 def test_new_days(spark, force_shuffle):
     rows = [(1, 1, k) for k in range(100)] + [(1, 2, k) for k in range(95, 105)] + [(1, 3, k) for k in range(200, 400)] + [(1, 4, k) for k in (*range(4), *range(900, 906))]
     rows += [(2, 5, 1), (2, 6, 1), (None, 1, 1), (3, None, 1), (3, 1, None), (2, 7, 2)] * 3
-    got = {(r.tree_id, r.made_day, r.n_keys, r.n_new) for r in distinct.new_days(days_frame(spark, rows)).collect()}
-    assert got == {(1, 3, 200, 200), (1, 4, 10, 6), (2, 7, 1, 1)}
+    exact = {(1, 3): (200, 200), (1, 4): (10, 6), (2, 7): (1, 1)}
+    got = distinct.new_days(days_frame(spark, rows)).collect()
+    assert {(r.tree_id, r.made_day) for r in got} == set(exact) and len(got) == 3
+    for r in got:
+        n, new = exact[r.tree_id, r.made_day]
+        off = 0 if r.counted else 6 * distinct.standard_error(distinct.P_DAYS) * 700
+        assert abs(r.n_keys - n) <= off and abs(r.n_new - new) <= off
+    assert {(r.tree_id, r.made_day) for r in got if r.counted} >= {(1, 4)}, "a day at the limit is counted"
+    every = [(t, d) for t in (1, 2) for d in range(1, 8)]
+    counts = {tuple(r) for r in distinct.recounted(days_frame(spark, rows), spark.createDataFrame(every, "tree_id long, made_day int")).collect()}
+    assert counts == {(1, 1, 100, 100), (1, 2, 10, 5), (1, 3, 200, 200), (1, 4, 10, 6), (2, 5, 1, 1), (2, 6, 1, 0), (2, 7, 1, 1)}
     assert distinct.new_days(days_frame(spark, rows).limit(0)).collect() == []
 
 
+def test_few_days_of_a_long_history_are_counted(spark):
+    """200 days of a tree, mostly kept chunks: the sketches alone decide on all but the few days near the limit."""
+    df = spark.range(200).selectExpr("CAST(1 AS BIGINT) AS tree_id", "CAST(id AS INT) AS made_day", "CASE WHEN id % 40 = 39 THEN 0.9 WHEN id % 40 = 20 THEN 0.6 ELSE 0.08 END AS share")
+    rows = df.selectExpr("*", "explode(sequence(0, 1999)) AS k").selectExpr("tree_id", "made_day", "unhex(sha2(concat(CASE WHEN made_day = 0 OR k < round(2000 * share) THEN concat(made_day, '-') ELSE '0-' END, k), 256)) AS key")
+    got = distinct.new_days(rows).collect()
+    assert {r.made_day for r in got} == {d for d in range(200) if d % 40 in (20, 39)}
+    assert {r.made_day for r in got if r.counted} <= {d for d in range(200) if d % 40 == 20}
+
+
 def test_new_shares_from_sketches_alone(spark):
     rows = [(1, d, d * 3000 + k) for d in range(3) for k in range(5000)]
     got = sorted((r.made_day, r.day_estimate, r.new_estimate, r.first_day) for r in distinct.new_share_estimates(days_frame(spark, rows)).collect())
