@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .chunk_ids import MAX_CHUNK
 
@@ -74,6 +76,19 @@ class ChunkSizes:
         return max(self.min, WINDOW)
 
 
+def resolved(low: str, avg: str, high: str) -> Column:
+    """The same of columns: a struct of min, avg, max and discriminator; null parts if the sizes aren't in order or out of range."""
+    given = [F.nullif(F.col(c), F.lit(0)).cast("long") for c in (low, avg, high)]
+    a, b, c = given
+    mean = F.rint(F.pow(F.lit(2.0), (F.log2(a) + F.log2(c)) / 2)).cast("long")
+    mid = F.when(a.isNull() & b.isNull() & c.isNull(), AVG).when(b.isNotNull(), b).when(a.isNotNull() & c.isNotNull(), mean).when(a.isNotNull(), a * 4).otherwise(F.floor(c / 4))
+    least, most = F.coalesce(a, F.greatest(F.floor(mid / 4), F.lit(1))), F.coalesce(c, F.least(mid * 4, F.lit(MAX_CHUNK)))
+    ok = (least >= 1) & (least <= mid) & (mid <= most) & (most <= MAX_CHUNK)
+    d = F.floor(mid / (F.lit(-1.42888852e-7) * mid + F.lit(1.33237515)))
+    parts = {"min": least, "avg": mid, "max": most, "discriminator": F.least(F.greatest(d, least), most)}
+    return F.struct(*[F.when(ok, x.cast("long")).alias(n) for n, x in parts.items()])
+
+
 @functools.lru_cache(maxsize=8)
 def byte_table(path: str | None = None) -> np.ndarray:
     """256 numbers of 32 bits, one for each byte. By rule: the first four bytes of

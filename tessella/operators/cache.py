@@ -23,6 +23,34 @@ def cache_verdicts(current: DataFrame, cache: DataFrame, on: list[str], checked:
     return met.withColumn("verdict", F.when(F.col("__kept").isNull(), "miss").when(same, "hit").otherwise("invalidated")).drop("__kept")
 
 
+def chunk_origins(pieces: DataFrame, by: list[str], owner: str, place: str = "place") -> DataFrame:
+    """by..., location_id, chunk, origin: what a cache keeps of chunks. `pieces` has the locations that make up the
+    chunks (`owner` names one), their location_id and place; the key of a chunk is its first location, its origin
+    the list of all."""
+    per = pieces.groupBy(*by, owner).agg(F.array_sort(F.collect_list(F.struct(place, "location_id"))).alias("p"))
+    ids = F.transform("p", lambda x: x["location_id"])
+    return per.select(*by, ids[0].alias("location_id"), F.col(owner).alias("chunk"), ids.alias("origin"))
+
+
+def verified_lookups(current: DataFrame, cache: DataFrame, by: list[str]) -> DataFrame:
+    """`current` (by..., location_id, place: the locations of a tree as it is now, in the order of the walk) with
+    chunk and verdict: hit, miss or invalidated.
+
+    A location finds the entry of `chunk_origins` with its id as key. That entry counts only if its whole origin is there
+    now: each of its locations, with equal path, offset, time, inode and generation as its id says, one behind the other.
+    An entry that doesn't hold any more is invalidated. A key that stands twice in a cache counts once, with the
+    smallest chunk."""
+    entry = cache.groupBy(*by, "location_id").agg(F.min(F.struct("chunk", "origin")).alias("e")).select(*by, "location_id", "e.chunk", "e.origin")
+    need = entry.select(*by, F.col("location_id").alias("__key"), F.posexplode("origin").alias("__k", "location_id"))
+    now = current.groupBy(*by, "location_id").agg(F.min("place").alias("__place"))
+    begun = F.col("__place") - F.col("__k")
+    held = need.join(now, [*by, "location_id"]).groupBy(*by, "__key").agg(F.count(F.lit(1)).alias("__n"), F.min(begun).alias("__low"), F.max(begun).alias("__high"))
+    whole = entry.join(held.withColumnRenamed("__key", "location_id"), [*by, "location_id"], "left")
+    ok = F.coalesce((F.col("__n") == F.size("origin")) & (F.col("__low") == F.col("__high")), F.lit(False))
+    judged = whole.select(*by, "location_id", F.when(ok, F.col("chunk")).alias("chunk"), F.when(ok, "hit").otherwise("invalidated").alias("verdict"))
+    return current.join(judged, [*by, "location_id"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("miss")))
+
+
 def cache_totals(verdicts: DataFrame, by: list[str]) -> DataFrame:
     """by..., hits, misses, invalidated, added: added are the entries that the cache gets anew."""
     v = F.col("verdict")

@@ -67,6 +67,11 @@ def content_chunks(blobs: DataFrame, sizes: ChunkSizes | None = None, algorithm:
     return spread(blobs.select("blob_id", "data")).mapInArrow(run, schema)
 
 
+def joined(data: str, order: str) -> Column:
+    """An aggregate: the bytes of a group in order, one behind the other."""
+    return F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY `{order}`)")
+
+
 def segments(blobs: DataFrame, length: int = SEGMENT) -> DataFrame:
     """blob_id, seg_no, base_offset, data, halo: a blob in parts, each with the 47 bytes before it."""
     n = F.length("data")
@@ -76,6 +81,44 @@ def segments(blobs: DataFrame, length: int = SEGMENT) -> DataFrame:
     return each.select("blob_id", "seg_no", base.alias("base_offset"), F.substr("data", (base + 1).cast("int"), F.lit(length)).alias("data"), F.substr("data", (base + 1 - halo).cast("int"), halo).alias("halo"))
 
 
+def segments_of_parts(parts: DataFrame, length: int = SEGMENT, tail: int = 0) -> DataFrame:
+    """The same `segments` of blobs that come as parts (blob_id, start, data) of any size, which
+    follow one another by `start`, each with a column `tail` of the `tail` bytes behind it. A part goes to each segment
+    that it touches; no task holds more than a segment."""
+    low, high, base = F.col("start"), F.col("start") + F.length("data"), F.col("seg_no") * length
+    touched = F.sequence(F.expr(f"greatest(start - {tail}, 0L) div {length}"), F.expr(f"(start + length(data) - 1 + {WINDOW - 1}) div {length}"))
+    each = parts.filter(F.length("data") > 0).select("blob_id", "start", "data", F.explode(touched).alias("seg_no"))
+    bounds = {"data": (base, base + length), "halo": (base - (WINDOW - 1), base), "tail": (base + length, base + length + tail)}
+
+    def cut(of: tuple[Column, Column]) -> Column:
+        a, b = F.greatest(low, of[0]), F.least(high, of[1])
+        return F.when(b > a, F.substr("data", (a - low + 1).cast("int"), (b - a).cast("int")))
+
+    pieces = each.select("blob_id", "seg_no", "start", *[cut(x).alias(n) for n, x in bounds.items()])
+    whole = pieces.groupBy("blob_id", "seg_no").agg(*[F.coalesce(joined(n, "start"), F.lit(b"")).alias(n) for n in bounds])
+    return whole.select("blob_id", F.col("seg_no").cast("int").alias("seg_no"), base.alias("base_offset"), *bounds).filter(F.length("data") > 0)
+
+
+def cut_segments(parts: DataFrame, ranges: DataFrame, length: int, algorithm: str = "sha256") -> DataFrame:
+    """blob_id, pos, start, end, size, chunk_id, data of the chunks (blob_id, pos, start, end) of blobs that come
+    as `segments_of_parts` of `length` bytes, whose tails are as long as a chunk. Each segment meets the list of the chunks that begin in it."""
+    kind = parts.schema["blob_id"].dataType.simpleString()
+    lists = ranges.groupBy("blob_id", F.expr(f"cast(start div {length} as int)").alias("seg_no")).agg(F.collect_list(F.struct("pos", "start", "end")).alias("of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = HASHES[algorithm]
+        for batch in batches:
+            for k, (base, data, tail, of) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(1, 5)])):
+                data += tail
+                cut = [data[r["start"] - base : r["end"] - base] for r in of]
+                start, end = pa.array([r["start"] for r in of], pa.int64()), pa.array([r["end"] for r in of], pa.int64())
+                columns = [batch.column(0).take(pa.array([k] * len(of))), pa.array([r["pos"] for r in of], pa.int32()), start, end, pa.array([len(x) for x in cut], pa.int64()), pa.array([new(x).hexdigest() for x in cut], pa.string()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["blob_id", "pos", "start", "end", "size", "chunk_id", "data"])
+
+    met = parts.join(lists, ["blob_id", "seg_no"]).select("blob_id", "base_offset", "data", "tail", "of")
+    return met.mapInArrow(run, f"blob_id {kind}, pos int, start long, end long, size long, chunk_id string, data binary")
+
+
 def content_chunks_of_segments(parts: DataFrame, sizes: ChunkSizes | None = None, table: str | None = None) -> DataFrame:
     """blob_id, pos, start, end, size for blobs that come as `segments`.
 
@@ -149,8 +192,10 @@ def size_histogram(chunks: DataFrame, sizes: ChunkSizes, buckets: int = 16) -> D
 
 def reassembled(chunks: DataFrame, most: int = 1 << 30) -> DataFrame:
     """blob_id, data: the blobs put together again from `data` by `pos`. A blob is
-    one value and so has to fit into one; larger ones are read by ranges."""
-    return chunks.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("c")).select("blob_id", F.aggregate(F.transform("c", lambda x: x["data"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+    one value here; one of more than `most` bytes is an error, and is read by ranges or in parts."""
+    size = F.sum(F.length("data").cast("long"))
+    error = F.raise_error(F.concat(F.lit("a blob is too large for one value: "), F.col("blob_id").cast("string")))
+    return chunks.groupBy("blob_id").agg(F.when(size > most, error.cast("binary")).otherwise(joined("data", "pos")).alias("data"))
 
 
 def stream_digest(parts: DataFrame, owner: list[str], order: str, data: str = "data", algorithm: str = "sha256") -> DataFrame:

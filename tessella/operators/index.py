@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunk_ids import MAX_CHUNK
-from .eager import sized_items
+from .chunking import joined
+from .eager import BLOCK, sized_items
 from .lookup import attach
 
 # Fixed values of the index format: bytes of the header, of the table header, of an item and of the tail.
@@ -50,6 +51,15 @@ def spans(items: DataFrame) -> DataFrame:
     return sized.select("index_id", "pos", (F.col("end_offset") - F.col("size")).alias("start"), F.col("end_offset").alias("end"), "key")
 
 
+def with_starts(items: DataFrame) -> DataFrame:
+    """`items` (index_id, pos, end_offset, each position once) with `start` and `size`. An index is cut into
+    blocks of positions, each of which also gets the last item of the block before."""
+    block, last = F.expr(f"pos div {BLOCK}"), F.pmod(F.col("pos"), F.lit(BLOCK)) == BLOCK - 1
+    before = F.lag("end_offset", 1, 0).over(Window.partitionBy("index_id", "__block").orderBy("pos"))
+    each = items.withColumn("__block", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))))
+    return each.withColumn("start", before).filter(F.col("__block") == block).drop("__block").withColumn("size", F.col("end_offset") - F.col("start"))
+
+
 def chunks_at(items: DataFrame, offsets: DataFrame, cell: int = 1 << 20) -> DataFrame:
     """index_id, offset, pos, skip: the chunk that holds each asked offset of an index, and how far into it the offset is.
 
@@ -75,7 +85,7 @@ def read_range(chunks: DataFrame, low: int, high: int) -> DataFrame:
     skip = F.greatest(F.lit(low) - F.col("start"), F.lit(0))
     take = F.least(F.col("end"), F.lit(high)) - F.greatest(F.col("start"), F.lit(low))
     cut = held.select("blob_id", "pos", F.substr("data", (skip + 1).cast("int"), take.cast("int")).alias("data"))
-    return cut.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("c")).select("blob_id", F.aggregate(F.transform("c", lambda x: x["data"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+    return cut.groupBy("blob_id").agg(joined("data", "pos").alias("data"))
 
 
 def delta(earlier: DataFrame, later: DataFrame, on: list[str]) -> DataFrame:

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as ff
+from .lookup import attach
+from .order import running_total
 
 # Fixed values of the archive format.
+EXCLUDE_NAME = ".caexclude"
+MAX_MAJOR, MAX_MINOR = 1 << 12, 1 << 20
 MAX_NAME, MAX_TARGET, MAX_USER, MAX_LABEL = 255, 4095, 255, 4095
 VIRTUAL = ["proc", "sysfs", "cgroup", "cgroup2", "tmpfs-dev", "devpts", "securityfs", "selinuxfs", "debugfs", "tracefs", "bpf", "efivarfs", "pstore", "configfs", "fusectl", "mqueue", "hugetlbfs", "binfmt_misc"]
 KINDS = {"link": "symlinks", "block": "device-nodes", "char": "device-nodes", "fifo": "fifos", "socket": "sockets"}
@@ -173,6 +179,50 @@ def excluded(entries: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return step.filter(out).select("tree_id", "path").distinct()
 
 
+def exclude_patterns(files: DataFrame) -> DataFrame:
+    """tree_id, scope, regex, dirs_only, negative: the patterns in exclude files (tree_id, path, content), each of which
+    holds below its own folder. A file that is no UTF-8 is read as far as it is; bad lines are an error."""
+    kind = files.schema["tree_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for of, path, content in zip(b["tree_id"], b["path"], b["content"]):
+                text = bytes(content).decode("utf-8", "replace") if content is not None else ""
+                rows += [(of, x.scope, x.regex, x.dirs_only, x.negative) for x in parse_patterns(text, path.rpartition("/")[0])]
+            yield pd.DataFrame(rows, columns=["tree_id", "scope", "regex", "dirs_only", "negative"])
+
+    return files.select("tree_id", "path", F.col("content").cast("binary").alias("content")).mapInPandas(run, f"tree_id {kind}, scope string, regex string, dirs_only boolean, negative boolean")
+
+
+def exclude_files(entries: DataFrame) -> DataFrame:
+    """The exclude files among entries with content."""
+    return entries.filter((F.col("kind") == "file") & (base_name(F.col("path")) == EXCLUDE_NAME)).select("tree_id", "path", "content")
+
+
+def excluded_by_files(entries: DataFrame, patterns: DataFrame) -> DataFrame:
+    """tree_id, path of entries that the patterns of their folders' exclude files (`exclude_patterns`) take out, with all below them.
+
+    Each name meets the patterns of all folders above it; those that let it pass win over those that
+    take it out, whichever file they stand in. Patterns below a folder that is itself taken out change nothing, as
+    all below it goes with it."""
+    at, scope = F.col("at"), F.col("scope")
+    own = entries.filter(F.col("path") != "").select("tree_id", F.col("path").alias("at"), (F.col("kind") == "dir").alias("is_dir"))
+    names = own.groupBy("tree_id", "at").agg(F.bool_or("is_dir").alias("is_dir"))
+    rules = patterns.distinct().groupBy("tree_id", "scope").agg(F.collect_list(F.struct("regex", "dirs_only", "negative")).alias("rules"))
+    met = attach(names.withColumn("scope", F.explode(F.concat(F.array(F.lit("")), ancestors(at, own=False)))), rules, ["tree_id", "scope"])
+    below = F.when(scope == "", at).otherwise(F.substr(at, F.length(scope) + 2))
+    hit = lambda negative: F.exists("rules", lambda r: (r["negative"] == F.lit(negative)) & (~r["dirs_only"] | F.col("is_dir")) & F.rlike(below, F.concat(F.lit("^(?:"), r["regex"], F.lit(r")\z"))))
+    judged = met.select("tree_id", "at", hit(False).alias("out"), hit(True).alias("in")).groupBy("tree_id", "at").agg(F.bool_or("out").alias("out"), F.bool_or("in").alias("in"))
+    tops = judged.filter(F.col("out") & ~F.col("in")).select("tree_id", "at")
+    return entries.select("tree_id", "path", F.explode(ancestors(F.col("path"))).alias("at")).join(tops, ["tree_id", "at"], "left_semi").select("tree_id", "path").distinct()
+
+
+def pattern_order(patterns: DataFrame) -> DataFrame:
+    """Equal patterns of a tree once, with their place in a fixed order: those that take out first, then by scope, text and kind. Two sets mean the same if these are equal."""
+    return running_total(patterns.distinct(), ["tree_id"], ["negative", "scope", "regex", "dirs_only"], name="place")
+
+
 def without_excluded(entries: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return entries.join(excluded(entries, patterns), ["tree_id", "path"], "left_anti")
 
@@ -187,23 +237,25 @@ def deleted_names(present: DataFrame, archived: DataFrame, by: list[str]) -> Dat
     return present.select(*by, "path").distinct().join(archived.select(*by, "path").distinct(), [*by, "path"], "left_anti")
 
 
-def entry_violations(entries: DataFrame) -> DataFrame:
-    """tree_id, path, rule of entries that no archive may hold.
+def entry_violations(entries: DataFrame, features: int | None = None) -> DataFrame:
+    """tree_id, path, rule of entries that no archive may hold, or none with the given features.
 
     Columns that `entries` lacks count as null. Rules: of names (bad_name,
     name_too_long), modes (bad_mode), owners (bad_uid, root_name), times
     (bad_nsec), links (link_without_target, target_too_long, target_on_other),
-    devices (device_without_number, number_on_other), files (file_without_payload)
+    devices (device_without_number, number_on_other, number_out_of_range), files (file_without_payload)
     and of what only certain kinds may have (fcaps_on_other, projid_on_other,
     flags_on_other, xattrs_on_link, acl_on_link, default_acl_on_other,
-    acl_without_group, root_not_dir)."""
+    acl_without_group, default_acl_without_mask, root_not_dir); with `features` also owner_name_without_flag and
+    time_not_granular."""
     c = lambda name, kind: F.col(name).cast(kind) if name in entries.columns else F.lit(None).cast(kind)
     kind, path, name = c("kind", "string"), c("path", "string"), base_name(F.col("path"))
     mode, target, user, group = c("mode", "int"), c("target", "string"), c("user", "string"), c("group", "string")
     tags = entries.schema["acl"].dataType if "acl" in entries.columns else None
     acl = F.transform(F.coalesce(F.col("acl"), F.array()), lambda x: x["tag"]) if tags else F.array().cast("array<string>")
     some_acl = F.size(acl) > 0
-    rdev = F.col("rdev").isNotNull() if "rdev" in entries.columns else F.lit(False)
+    major, minor = (F.col("rdev.major"), F.col("rdev.minor")) if "rdev" in entries.columns else (c("major", "long"), c("minor", "long"))
+    rdev = major.isNotNull() & minor.isNotNull()
     xattrs = F.coalesce(F.size("xattrs") > 0, F.lit(False)) if "xattrs" in entries.columns else F.lit(False)
     rules = [
         ("bad_name", name.isin(".", "..") | (name == "") & (path != "") | (F.instr(name, "\x00") > 0)),
@@ -218,6 +270,7 @@ def entry_violations(entries: DataFrame) -> DataFrame:
         ("target_on_other", target.isNotNull() & (kind != "link")),
         ("device_without_number", kind.isin("block", "char") & ~rdev),
         ("number_on_other", rdev & ~kind.isin("block", "char")),
+        ("number_out_of_range", (major < 0) | (major >= MAX_MAJOR) | (minor < 0) | (minor >= MAX_MINOR)),
         ("file_without_payload", (kind == "file") & c("size", "long").isNull()),
         ("fcaps_on_other", c("fcaps", "binary").isNotNull() & (kind != "file")),
         ("projid_on_other", c("quota_projid", "int").isNotNull() & ~kind.isin("file", "dir")),
@@ -226,8 +279,15 @@ def entry_violations(entries: DataFrame) -> DataFrame:
         ("acl_on_link", some_acl & (kind == "link")),
         ("default_acl_on_other", F.exists(acl, lambda t: t.startswith("default")) & (kind != "dir")),
         ("acl_without_group", F.exists(acl, lambda t: t.isin("user", "group")) & ~F.array_contains(acl, "group-obj")),
+        ("default_acl_without_mask", F.exists(acl, lambda t: t.isin("default-user", "default-group")) & ~F.array_contains(acl, "default-mask")),
         ("root_not_dir", (path == "") & (kind != "dir")),
     ]
+    if features is not None:
+        unit = next((ns for name, ns in ff.GRANULARITY if features & ff.FEATURES[name]), None)
+        off = c("mtime_ns", "long") != 0 if unit is None else F.pmod(c("mtime_ns", "long"), F.lit(unit)) != 0
+        rules.append(("time_not_granular", off))
+        if not features & ff.FEATURES["user-names"]:
+            rules.append(("owner_name_without_flag", user.isNotNull() | group.isNotNull()))
     return entries.select("tree_id", "path", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules]))).alias("rule"))
 
 
@@ -248,6 +308,39 @@ def name_tables(entries: DataFrame) -> DataFrame:
     return hashed.groupBy("tree_id", "parent").agg(F.collect_list(F.struct("hash", "start", "end")).alias("items")).select("tree_id", "parent", as_search_tree(sorted_names(F.col("items"))).alias("items"))
 
 
+def looked_up(tables: DataFrame, wanted: DataFrame) -> DataFrame:
+    """tree_id, path, start, size of each wanted path (tree_id, path) that the table of its folder (`name_tables`) holds, found by descending the search tree.
+
+    Names whose hashes are equal stand beside one another in the order of a table; all of them are given, and the
+    name that is stored where they point decides. Folders are descended in parallel, all wanted names of a folder at once."""
+    from ..functions.digests import siphash24
+
+    kind = wanted.schema["tree_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for of, parent, items, names in zip(b["tree_id"], b["parent"], b["items"], b["names"]):
+                keys = [int(x["hash"]) & (1 << 64) - 1 for x in items]
+                for name, want in zip(names, siphash24([n.encode("utf-8", "surrogateescape") for n in names])):
+                    todo = [0]
+                    while todo:
+                        i = todo.pop()
+                        if i >= len(keys):
+                            continue
+                        if keys[i] == want:
+                            rows.append((of, f"{parent}/{name}" if parent else name, items[i]["start"], items[i]["end"] - items[i]["start"]))
+                        # An equal hash may stand on either side.
+                        if want <= keys[i]:
+                            todo.append(2 * i + 1)
+                        if want >= keys[i]:
+                            todo.append(2 * i + 2)
+            yield pd.DataFrame(rows, columns=["tree_id", "path", "start", "size"])
+
+    asked = wanted.filter(F.col("path") != "").groupBy("tree_id", parent_path(F.col("path")).alias("parent")).agg(F.collect_set(base_name(F.col("path"))).alias("names"))
+    return tables.join(asked, ["tree_id", "parent"]).mapInPandas(run, f"tree_id {kind}, path string, start long, size long")
+
+
 def with_folders(entries: DataFrame) -> DataFrame:
     """The entries with the folders, and the top, that paths imply but no entry stands for; other columns of these are null."""
     above = F.concat(F.array(F.lit("")), ancestors(F.col("path"), own=False))

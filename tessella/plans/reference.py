@@ -81,7 +81,7 @@ def source_stream_digests(spark, d):
 def round_trip(spark, d):
     """Messages that are put together again from their chunks: whether all are the same."""
     back = chunking.reassembled(chunking.fixed_chunks(_blobs(spark, d), FIXED)).withColumnRenamed("data", "back")
-    return _blobs(spark, d).join(back, "blob_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("data") == F.col("back")).alias("same"))
+    return _blobs(spark, d).filter(F.length("data") > 0).join(back, "blob_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("data") == F.col("back")).alias("same"))
 
 
 def byte_range(spark, d):
@@ -274,12 +274,16 @@ def folder_tables(spark, d):
 
 
 def location_texts(spark, d):
-    """Every location record as text, and whether reading it back gives the same."""
+    """Every location record as text, and whether reading it back gives the same: all of it, but for a size of 0 and an inode or generation without a time, which the text can't hold."""
     c = F.col
     l = table(spark, d, "locations").withColumn("path", canonical_path("path"))
     text = locations.format_location(c("path"), c("designator"), c("start_offset"), F.nullif(c("size"), F.lit(0)), c("mtime"), c("inode"), c("generation"))
     back = locations.parse_location(text)
-    same = back["path"].eqNullSafe(c("path")) & back["offset"].eqNullSafe(c("start_offset")) & back["mtime"].eqNullSafe(c("mtime"))
+    timed = lambda x: F.when(c("mtime").isNotNull(), x)
+    kept = {"path": c("path"), "designator": c("designator"), "offset": c("start_offset"), "size": F.nullif(c("size"), F.lit(0)), "mtime": c("mtime"), "inode": timed(F.coalesce(c("inode"), F.lit(0))), "generation": timed(c("generation").cast("long"))}
+    same = F.lit(True)
+    for n, x in kept.items():
+        same = same & back[n].eqNullSafe(x)
     return l.select("snapshot_id", "path", text.alias("text"), same.alias("same"))
 
 
@@ -371,6 +375,20 @@ _SPANS = f"{_SIZED}, spans AS (SELECT index_id, pos, k, end_offset - size AS a,
 _FIXED = f"""h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE strlen(text) > 0),
   f AS (SELECT doc_id, CAST(unnest(generate_series(0, (len(x) // 2 - 1) // {FIXED})) AS INTEGER) AS pos, x FROM h),
   c AS (SELECT doc_id, pos, sha256(unhex(substr(x, pos * {2 * FIXED} + 1, {2 * FIXED}))) AS chunk_id, len(substr(x, pos * {2 * FIXED} + 1, {2 * FIXED})) // 2 AS size FROM f)"""
+#: Content-defined cuts: the number of a byte by its rule, hashes of windows by a moving XOR of turned numbers, candidates, and cut after cut.
+_CUTS = f"""WITH RECURSIVE numbers AS (SELECT printf('%02X', b) AS byte, CAST('0x' || substr(sha256(printf('%02x', b)), 1, 8) AS UBIGINT) AS t FROM range(256) r(b)),
+  texts AS (SELECT doc_id, hex(encode(text)) AS x, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
+  bytes AS (SELECT doc_id, unnest(regexp_extract_all(x, '..')) AS byte, unnest(range(0, n)) AS i FROM texts),
+  turned AS (SELECT doc_id, i, ((t >> CAST(i % 32 AS UBIGINT)) | (t << CAST(32 - i % 32 AS UBIGINT))) & 4294967295 AS r FROM bytes JOIN numbers USING (byte)),
+  spans AS (SELECT doc_id, i, bit_xor(r) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS s FROM turned),
+  called AS (SELECT doc_id, list(i + 1 ORDER BY i) AS c FROM spans WHERE i >= 47 AND (((s << CAST(i % 32 AS UBIGINT)) | (s >> CAST(32 - i % 32 AS UBIGINT))) & 4294967295) % {SMALL.discriminator} = {SMALL.discriminator - 1} GROUP BY doc_id),
+  steps AS (SELECT doc_id, 0 AS pos, 0 AS a, least(n, {SMALL.max}, coalesce(list_filter(c, lambda v: v >= {SMALL.min})[1], n)) AS b, n, c FROM texts LEFT JOIN called USING (doc_id)
+    UNION ALL SELECT doc_id, pos + 1, b, least(n, b + {SMALL.max}, coalesce(list_filter(c, lambda v: v >= b + {SMALL.min})[1], n)), n, list_filter(c, lambda v: v >= b + {SMALL.min}) FROM steps WHERE b < n),
+  c AS (SELECT doc_id, pos, a, b, b - a AS size, sha256(unhex(substr(x, 2 * a + 1, 2 * (b - a)))) AS chunk_id FROM steps JOIN texts USING (doc_id))"""
+_TOTALS = """u AS (SELECT chunk_id, count(*) AS n, max(size) AS size FROM c GROUP BY 1)
+        SELECT CAST(sum(n) AS BIGINT) AS chunks, count(*) AS unique_chunks, CAST(sum(n * size) AS BIGINT) AS bytes, CAST(sum(size) AS BIGINT) AS unique_bytes, CAST(sum(n) - count(*) AS BIGINT) AS reused,
+          CAST((sum(n) - count(*)) * 100 // sum(n) AS BIGINT) AS reused_percent, CAST(sum(n * size) // sum(n) AS BIGINT) AS average_chunk FROM u"""
+_BUCKETS, _WIDTH = 16, (SMALL.max + 1 - SMALL.min) / 16
 _MAIN, _EXTRA = "SELECT DISTINCT k FROM " + _S + " WHERE store_id = 'default.castr'", "SELECT DISTINCT k FROM " + _S + " WHERE store_id = 'extra.castr'"
 _CANON = "array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/')"
 _ENTRIES = f"""rec AS (SELECT snapshot_id, {_CANON} AS path, designator, size, mtime, inode, start_offset, delivered_at FROM locations WHERE snapshot_id IN (SELECT snapshot_id FROM snapshots)),
@@ -402,9 +420,15 @@ QUERIES = {
 }
 
 ORACLE = {
-    "fixed_chunk_totals": f"""WITH {_FIXED}, u AS (SELECT chunk_id, count(*) AS n, max(size) AS size FROM c GROUP BY 1)
-        SELECT CAST(sum(n) AS BIGINT) AS chunks, count(*) AS unique_chunks, CAST(sum(n * size) AS BIGINT) AS bytes, CAST(sum(size) AS BIGINT) AS unique_bytes, CAST(sum(n) - count(*) AS BIGINT) AS reused,
-          CAST((sum(n) - count(*)) * 100 // sum(n) AS BIGINT) AS reused_percent, CAST(sum(n * size) // sum(n) AS BIGINT) AS average_chunk FROM u""",
+    "fixed_chunk_totals": f"WITH {_FIXED}, {_TOTALS}",
+    "content_chunk_totals": f"{_CUTS}, {_TOTALS}",
+    "content_index": f"{_CUTS} SELECT doc_id AS index_id, CAST(pos AS INTEGER) AS pos, CAST(b AS BIGINT) AS end_offset, chunk_id FROM c",
+    "content_index_of_segments": f'{_CUTS} SELECT doc_id AS blob_id, CAST(pos AS INTEGER) AS pos, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", CAST(size AS BIGINT) AS size FROM c',
+    "chunk_size_histogram": f"""{_CUTS}, h AS (SELECT least(greatest(CAST(floor((size - {SMALL.min}) / {_WIDTH}) AS INTEGER) + 1, 1), {_BUCKETS}) AS bucket FROM c)
+        SELECT bucket, count(*) AS n, CAST(ceil({SMALL.min} + (bucket - 1) * {_WIDTH}) AS BIGINT) AS low FROM h GROUP BY bucket""",
+    "make_documents": f"""{_CUTS}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id, pos) AS k FROM c)
+        SELECT doc_id AS index_id, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS archive_size, CAST(sum(size) // count(*) AS BIGINT) AS average_chunk, count_if(k = 1) AS chunks_written, count_if(k > 1) AS chunks_reused,
+          CAST(count_if(k > 1) * 100 // count(*) AS BIGINT) AS reused_percent, 104 + 40 * count(*) AS index_size FROM r GROUP BY 1""",
     "fixed_chunk_reuse": f"""WITH {_FIXED}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id, pos) AS k FROM c)
         SELECT doc_id AS blob_id, count_if(k = 1) AS chunks_written, count_if(k > 1) AS chunks_reused FROM r GROUP BY 1""",
     "fixed_index": f"WITH {_FIXED} SELECT doc_id AS index_id, pos, CAST(pos * {FIXED} + size AS BIGINT) AS end_offset, chunk_id FROM c",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ class Options:
     exclude_file: bool = True
     recursive: bool = True
     dry_run: bool = False
+    uid_shift: int | None = None
+    uid_range: int = 0x10000
     byte_table: str | None = None
 
     @property
@@ -70,20 +74,28 @@ class Made:
 
 
 def filtered(entries: DataFrame, options: Options, patterns: list[tree.Pattern] = ()) -> DataFrame:
-    """The entries that an archive with these options holds."""
+    """The entries that an archive with these options holds. Exclude files in the tree are read if the entries have their content; `patterns` hold besides."""
     out = tree.without_nodump(tree.kept_kinds(entries, options.features), options.features) if "flags" in entries.columns else tree.kept_kinds(entries, options.features)
     if options.exclude_submounts and "mount_id" in entries.columns:
         out = tree.without_submounts(out)
     if "fs" in entries.columns:
         out = tree.without_virtual(out)
-    return tree.without_excluded(out, list(patterns)) if options.exclude_file and patterns else out
+    if not options.exclude_file:
+        return out
+    if "content" in entries.columns:
+        found = tree.excluded_by_files(out, tree.exclude_patterns(tree.exclude_files(out)))
+        out = out.join(found, ["tree_id", "path"], "left_anti")
+    return tree.without_excluded(out, list(patterns)) if patterns else out
 
 
 def make_blobs(blobs: DataFrame, have: DataFrame | None = None, options: Options = Options()) -> Made:
     """Index, chunks to store and statistics of blobs (blob_id, data), given the ids (chunk_id) that the store holds.
 
     Blobs are cut once; what was cut is kept in the shared folder, from which all three results come."""
-    cut = written(chunking.content_chunks(blobs, options.sizes, options.digest, keep_data=True, table=options.byte_table), "chunks")
+    return _made(written(chunking.content_chunks(blobs, options.sizes, options.digest, keep_data=True, table=options.byte_table), "chunks"), have, options)
+
+
+def _made(cut: DataFrame, have: DataFrame | None, options: Options) -> Made:
     one = cut.select("chunk_id", "size", "data")
     fresh = one.select("chunk_id").distinct()
     if have is not None:
@@ -97,37 +109,73 @@ def make_blobs(blobs: DataFrame, have: DataFrame | None = None, options: Options
     return Made(chunking.index_of(cut), new, report, cut)
 
 
-def make_trees(entries: DataFrame, have: DataFrame | None = None, options: Options = Options(), patterns: list[tree.Pattern] = ()) -> Made:
-    """The same of trees (tree_id and the columns of an archive's entries)."""
-    made = archives.archives(filtered(entries, options, patterns), options.features)
-    return make_blobs(made.select(F.col("tree_id").alias("blob_id"), F.col("archive").alias("data")), have, options)
-
-
-def extract_blobs(items: DataFrame, sources: list[tuple[str, DataFrame]], options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(blobs, report) of an index and providers in their order, each a name and a table of
-    chunk_id and data. A chunk counts only if its digest is right and its size that of the index;
-    the first provider with such a chunk gives it. blobs: blob_id, data, complete; report: provider, requests, bytes, percent."""
+def make_trees(entries: DataFrame, have: DataFrame | None = None, options: Options = Options(), patterns: list[tree.Pattern] = (), segment: int = chunking.SEGMENT) -> Made:
+    """The same of trees (tree_id and the columns of an archive's entries).
+
+    An archive may be larger than a value or a task: it is made in parts, which are laid out
+    in segments of `segment` bytes, hashed segment by segment, and cut by what the segments called for. What the
+    features don't keep isn't archived: modes, times and owners are reduced to them."""
+    kept = archived_columns(filtered(entries, options, patterns), options)
+    parts = archives.archive_parts(kept, options.features).withColumnRenamed("tree_id", "blob_id")
+    segments = written(chunking.segments_of_parts(parts, segment, options.sizes.max), "segments")
+    ranges = written(chunking.content_chunks_of_segments(segments, options.sizes, options.byte_table), "cuts")
+    return _made(written(chunking.cut_segments(segments, ranges, segment, options.digest), "chunks"), have, options)
+
+
+def archived_columns(entries: DataFrame, options: Options) -> DataFrame:
+    """Entries as an archive with the options' features keeps them: times in its granularity, permissions as
+    far as it has them, owners shifted (null below the shift), and null what it doesn't keep at all."""
+    flags = F.lit(ff.signed(options.features)).cast("long")
+    out = tree.replay_columns(entries, options.features)
+    if "mode" in out.columns:
+        kinds = F.create_map(*[F.lit(x) for k, v in archives.KIND_MODES.items() for x in (k, v)])
+        out = out.withColumn("mode", ff.stored_mode(kinds[F.col("kind")].bitwiseOR(F.coalesce(F.col("mode"), F.lit(0)).bitwiseAND(F.lit(0o7777))), flags))
+    if "mtime_ns" in out.columns:
+        out = out.withColumn("mtime_ns", ff.floor_time(F.col("mtime_ns"), flags))
+    if options.uid_shift is not None:
+        out = out.withColumns({c: ff.shifted_uid(F.col(c), options.uid_shift, options.uid_range) for c in ("uid", "gid") if c in out.columns})
+    return out
+
+
+def resolved_parts(items: DataFrame, sources: list[tuple[str, DataFrame]], options: Options = Options()) -> DataFrame:
+    """blob_id, pos, start, size, provider, ok, data of each item of indices (index_id, pos, end_offset, chunk_id), from
+    providers in their order, each a name and a table of chunk_id and data.
+
+    A chunk counts only if its digest is right and its size that of the index; the first provider with
+    such a chunk gives it. Chunks are checked once for each provider; the items meet the chosen ones by a
+    join that splits a chunk which very many items ask for."""
     held = None
     for k, (name, rows) in enumerate(sources):
         good = store.verified(rows.select("chunk_id", "data"), options.digest).filter("intact").select("chunk_id", "data", F.lit(k).alias("priority"), F.lit(name).alias("provider"))
         held = good if held is None else held.unionByName(good)
     best = held.groupBy("chunk_id").agg(F.min_by(F.struct("data", "provider"), "priority").alias("r")).select("chunk_id", "r.data", "r.provider")
+    met = attach(index.with_starts(items.select("index_id", "pos", "end_offset", "chunk_id")), best, ["chunk_id"], "left")
+    ok = F.coalesce(F.length("data") == F.col("size"), F.lit(False))
+    return met.select(F.col("index_id").alias("blob_id"), "pos", "start", "size", F.when(ok, F.col("provider")).alias("provider"), ok.alias("ok"), F.when(ok, F.col("data")).alias("data"))
+
+
+def _providers_report(parts: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    before = F.lag("end_offset", 1, 0).over(Window.partitionBy("index_id").orderBy("pos"))
-    sized = items.withColumn("size", F.col("end_offset") - before)
-    got = written(sized.join(best, "chunk_id", "left").withColumn("ok", F.coalesce(F.length("data") == F.col("size"), F.lit(False))), "resolved")
-    parts = got.select(F.col("index_id").alias("blob_id"), "pos", F.when(F.col("ok"), F.col("data")).alias("data"), "ok")
-    whole = parts.groupBy("blob_id").agg(F.bool_and("ok").alias("complete"))
-    blobs = chunking.reassembled(parts.filter("ok")).join(whole, "blob_id", "right").select("blob_id", F.when(F.col("complete"), F.col("data")).alias("data"), "complete")
-    total = got.groupBy(F.when(F.col("ok"), F.col("provider")).alias("provider")).agg(F.count(F.lit(1)).alias("requests"), F.sum("size").alias("bytes"))
-    return blobs, total.withColumn("percent", F.floor(F.col("requests") * 100 / F.sum("requests").over(Window.partitionBy())).cast("long"))
+    total = parts.groupBy("provider").agg(F.count(F.lit(1)).alias("requests"), F.sum("size").alias("bytes"))
+    return total.withColumn("percent", F.floor(F.col("requests") * 100 / F.sum("requests").over(Window.partitionBy())).cast("long"))
 
 
-def extract_trees(items: DataFrame, sources: list[tuple[str, DataFrame]], options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(entries, report): the same, unpacked."""
-    blobs, report = extract_blobs(items, sources, options)
-    return archives.unpacked(blobs.filter("complete").select(F.col("blob_id").alias("tree_id"), F.col("data").alias("archive"))), report
+def extract_blobs(items: DataFrame, sources: list[tuple[str, DataFrame]], options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(blobs, report) of an index and providers, by `resolved_parts`. blobs: blob_id, data, complete; report: provider, requests,
+    bytes, percent. A blob is one value; larger ones are taken from `resolved_parts`."""
+    got = written(resolved_parts(items, sources, options), "resolved")
+    whole = got.groupBy("blob_id").agg(F.bool_and("ok").alias("complete"))
+    blobs = chunking.reassembled(got.filter("ok").select("blob_id", "pos", "data")).join(whole, "blob_id", "right").select("blob_id", F.when(F.col("complete"), F.col("data")).alias("data"), "complete")
+    return blobs, _providers_report(got)
+
+
+def extract_trees(items: DataFrame, sources: list[tuple[str, DataFrame]], options: Options = Options(), with_content: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(entries, report): the same, unpacked as the chunks come; trees that aren't complete give no entries. No archive is ever one value."""
+    got = written(resolved_parts(items, sources, options), "resolved")
+    broken = got.filter(~F.col("ok")).select("blob_id").distinct()
+    parts = attach(got, broken.withColumn("__broken", F.lit(True)), ["blob_id"], "left").filter(F.col("__broken").isNull())
+    return archives.unpacked_parts(parts.select(F.col("blob_id").alias("tree_id"), "start", "data"), with_content), _providers_report(got)
 
 
 def listed(entries: DataFrame, path: str = "", options: Options = Options()) -> DataFrame:
@@ -148,8 +196,11 @@ def manifest(entries: DataFrame, options: Options = Options()) -> DataFrame:
     return entries.select("tree_id", "path", line.alias("line"))
 
 
-def stat_block(entries: DataFrame) -> DataFrame:
-    """tree_id, path, text: the labelled lines about each entry; times are shown in the time zone of the session."""
+def stat_block(entries: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """tree_id, path, text: the labelled lines about each entry; times are shown in the time zone of the session. With
+    `digests`, as `entry_digests` has them, files show theirs."""
+    if digests is not None:
+        entries = entries.join(digests.select("tree_id", "path", "payload_digest", "hardlink_digest"), ["tree_id", "path"], "left")
     c = lambda n: F.col(n) if n in entries.columns else F.lit(None)
 
     def line(label: str, value: Column) -> Column:
@@ -169,26 +220,39 @@ def stat_block(entries: DataFrame) -> DataFrame:
     if "xattrs" in entries.columns:
         pairs = F.transform(F.array_sort(F.map_entries("xattrs")), lambda x: F.concat(F.lit(f"{'XAttr':>8}: "), listing.escaped(x["key"]), F.lit(" → "), listing.escaped(x["value"])))
         lines.append(F.nullif(F.array_join(pairs, "\n"), F.lit("")))
+    lines += [line("Digest", c("payload_digest")), line("HLDigest", c("hardlink_digest"))]
     return entries.select("tree_id", "path", F.concat_ws("\n", *lines).alias("text"))
 
 
 def digests_at(made: DataFrame, entries: DataFrame, path: str = "", algorithm: str = "sha512-256") -> DataFrame:
-    """tree_id, kind, digest: of the top the digest of the archive (tree_id, archive), of a file
-    that of its content; other entries have none."""
-    from ..functions.digests import digest
+    """tree_id, kind, digest: of a folder the digest of its part of the archive (tree_id, archive), from its entry to the end of its
+    table; of the top that is all. Of a file that of its content. Other kinds are an error; a path that isn't there has no row."""
+    from ..functions.digests import digest, digest_bytes
 
+    hexed = lambda c: F.lower(F.hex(digest(F.col(c), algorithm)))
     if not path:
-        return made.select("tree_id", F.lit("archive").alias("kind"), F.lower(F.hex(digest(F.col("archive"), algorithm))).alias("digest"))
-    return entries.filter((F.col("path") == path) & (F.col("kind") == "file")).select("tree_id", F.lit("payload").alias("kind"), F.lower(F.hex(digest(F.col("content"), algorithm))).alias("digest"))
+        return made.select("tree_id", F.lit("archive").alias("kind"), hexed("archive").alias("digest"))
+
+    @F.pandas_udf("string")
+    def part(archives_: pd.Series) -> pd.Series:
+        out = []
+        for data in archives_:
+            at = archives.node_range(bytes(data), path)
+            out.append(digest_bytes(data[at[0] : at[1]], algorithm).hex() if at else None)
+        return pd.Series(out, dtype=object)
+
+    content = F.col("content") if "content" in entries.columns else F.lit(b"")
+    hit = entries.filter(F.col("path") == path).select("tree_id", "kind", content.alias("content"))
+    other = F.raise_error(F.concat(F.lit("a digest is of files and folders, not of a "), F.col("kind")))
+    checked = hit.withColumn("kind", F.when(F.col("kind").isin("file", "dir"), F.col("kind")).otherwise(other))
+    files = checked.filter(F.col("kind") == "file").select("tree_id", F.lit("payload").alias("kind"), hexed("content").alias("digest"))
+    folders = made.join(checked.filter(F.col("kind") == "dir").select("tree_id"), "tree_id", "left_semi").select("tree_id", F.lit("archive").alias("kind"), part("archive").alias("digest"))
+    return files.unionByName(folders)
 
 
 def entry_digests(entries: DataFrame, features: int = ff.DEFAULT, algorithm: str = "sha512-256") -> DataFrame:
     """tree_id, path, payload_digest, hardlink_digest of files: of the content alone, and of all
     records of the entry, by which files can be told that may become one."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     from ..functions.digests import digest_bytes
 
     have = [c for c in archives.FIELDS if c in entries.columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import stat
 import struct
@@ -134,16 +135,80 @@ def encode_tree(entries: Iterable[dict], features: int = ff.DEFAULT) -> Iterator
         yield close()
 
 
+class _Whole:
+    """Bytes that are there as one value."""
+
+    def __init__(self, data):
+        self.view, self.at = memoryview(data), 0
+
+    def ended(self) -> bool:
+        return self.at >= len(self.view)
+
+    def read(self, n: int) -> bytes:
+        if n > len(self.view) - self.at:
+            raise ValueError("the archive is cut off")
+        self.at += n
+        return bytes(self.view[self.at - n : self.at])
+
+    def skip(self, n: int) -> None:
+        if n > len(self.view) - self.at:
+            raise ValueError("the archive is cut off")
+        self.at += n
+
+
+class _Parts:
+    """Bytes that come in parts, of which only what a record needs is held."""
+
+    def __init__(self, parts: Iterable[bytes]):
+        self.parts, self.held, self.off, self.at = iter(parts), b"", 0, 0
+
+    def _more(self) -> bool:
+        for part in self.parts:
+            if part:
+                self.held, self.off = bytes(part), 0
+                return True
+        return False
+
+    def ended(self) -> bool:
+        return self.off >= len(self.held) and not self._more()
+
+    def _take(self, n: int) -> Iterator[memoryview]:
+        self.at += n
+        while n:
+            if self.ended():
+                raise ValueError("the archive is cut off")
+            piece = memoryview(self.held)[self.off : self.off + n]
+            self.off += len(piece)
+            n -= len(piece)
+            yield piece
+
+    def read(self, n: int) -> bytes:
+        return b"".join(self._take(n))
+
+    def skip(self, n: int) -> None:
+        for _ in self._take(n):
+            pass
+
+
 def decode_archive(data, with_content: bool = True) -> Iterator[dict]:
-    """The entries of an archive, folders before what is in them; a ValueError for what the format doesn't allow."""
+    """The entries of an archive, folders before what is in them; a ValueError for what the format doesn't allow.
+    `data` is the archive, or an iterable of its parts in order."""
+    source = _Whole(data) if isinstance(data, (bytes, bytearray, memoryview)) else _Parts(data)
     try:
-        yield from _decoded(data, with_content)
+        yield from _decoded(source, with_content)
     except (struct.error, IndexError) as e:
         raise ValueError("a record is too short") from e
 
 
-def _decoded(data, with_content: bool) -> Iterator[dict]:
-    view, at, stack, name, features = memoryview(data), 0, [], None, None
+def node_range(data: bytes, path: str) -> tuple[int, int] | None:
+    """Where in an archive a folder's records lie, from its entry to the end of its table; null if there is no such folder."""
+    ends: dict[str, int] = {}
+    starts = {e["path"]: e["start"] for e in _decoded(_Whole(data), False, ends)}
+    return (starts[path], ends[path]) if path in ends else None
+
+
+def _decoded(source, with_content: bool, ends: dict[str, int] | None = None) -> Iterator[dict]:
+    stack, name, features = [], None, None
     e: dict | None = None
 
     def text(b: bytes) -> str:
@@ -156,14 +221,17 @@ def _decoded(data, with_content: bool) -> Iterator[dict]:
             raise ValueError(f"{e['path']!r} lacks what a {e['kind']} needs")
         return e
 
-    while at < len(view):
-        if len(view) - at < 16:
-            raise ValueError("the archive is cut off")
-        size, kind = struct.unpack("<2Q", view[at : at + 16])
+    while not source.ended():
+        at = source.at
+        size, kind = struct.unpack("<2Q", source.read(16))
         what = _NAMES.get(kind)
-        if what is None or size < 16 or at + size > len(view):
+        if what is None or size < 16:
             raise ValueError(f"no record at {at}")
-        body = bytes(view[at + 16 : at + size]) if what != "payload" or with_content else b""
+        body = b""
+        if what != "payload" or with_content:
+            body = source.read(size - 16)
+        else:
+            source.skip(size - 16)
         if what in ("filename", "goodbye") and e is not None:
             yield finish(e)
             e = None
@@ -179,6 +247,8 @@ def _decoded(data, with_content: bool) -> Iterator[dict]:
             if (back, again, marker) != (at - start, size, TAIL_MARKER) or (len(body) - 24) % 24:
                 raise ValueError(f"the table of {folder!r} is wrong")
             name = None
+            if ends is not None:
+                ends[folder] = at + size
         elif what == "entry":
             flags, mode, attrs, uid, gid, mtime = struct.unpack("<6Q", body)
             if features not in (None, flags):
@@ -224,7 +294,6 @@ def _decoded(data, with_content: bool) -> Iterator[dict]:
                 raise ValueError("a device number is out of range")
         elif what == "payload":
             e["size"], e["content"] = size - 16, body if with_content else None
-        at += size
     if stack or e is not None:
         raise ValueError("the archive is cut off")
 
@@ -344,14 +413,33 @@ def unpacked(archives: DataFrame, with_content: bool = True) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for tree, data in zip(b["tree_id"], b["archive"]):
-                rows = list(decode_archive(data, with_content))
-                out = pd.DataFrame(rows, columns=FIELDS)
-                out.insert(0, "tree_id", tree)
-                yield out.astype({c: "Int64" for c in ("flags", "uid", "gid", "mtime_ns", "size", "major", "minor", "start")} | {"quota_projid": "Int32"})
+                yield _entries_frame(tree, list(decode_archive(data, with_content)))
 
     return archives.select("tree_id", "archive").mapInPandas(run, f"tree_id {kind}, {ENTRIES}")
 
 
+def unpacked_parts(parts: DataFrame, with_content: bool = True) -> DataFrame:
+    """The same of archives that come in parts (tree_id, start, data). An archive can only be read from its
+    beginning, so its parts pass through one task in order; what is held is one record at a time."""
+    kind = parts.schema["tree_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for b in batches for x in zip(b["tree_id"], b["data"]))
+        for tree, own in itertools.groupby(rows, lambda x: x[0]):
+            entries = decode_archive((bytes(d) for _, d in own if d is not None), with_content)
+            while some := list(itertools.islice(entries, 256)):
+                yield _entries_frame(tree, some)
+
+    placed = parts.select("tree_id", "start", "data").repartition("tree_id").sortWithinPartitions("tree_id", "start")
+    return placed.mapInPandas(run, f"tree_id {kind}, {ENTRIES}")
+
+
+def _entries_frame(tree, rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=FIELDS)
+    out.insert(0, "tree_id", tree)
+    return out.astype({c: "Int64" for c in ("flags", "uid", "gid", "mtime_ns", "size", "major", "minor", "start")} | {"quota_projid": "Int32"})
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

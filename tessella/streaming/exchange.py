@@ -5,10 +5,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..operators.lookup import attach
 from ..operators.order import running_total
 
 # Fixed values of the protocol.
@@ -82,6 +84,19 @@ def compatible(local: int, remote: int) -> bool:
     return bool((local | remote) & sum(OPERATIONS[o] for o in SERVED_BY))
 
 
+def compatible_roles(local: Column, remote: Column) -> Column:
+    """The same as a column, of two columns of flags."""
+    on = lambda c, mask: c.bitwiseAND(F.lit(mask)) != 0
+    known = sum(SERVICES.values()) | sum(OPERATIONS.values())
+    bad = on(local.bitwiseOR(remote), ~known)
+    both = OPERATIONS["push-index"] | OPERATIONS["push-chunks"]
+    for own, other in ((local, remote), (remote, local)):
+        for o, s in SERVED_BY.items():
+            bad = bad | on(own, OPERATIONS[o]) & ~on(other, SERVICES[s])
+        bad = bad | on(own, OPERATIONS["push-index-chunks"]) & (own.bitwiseAND(F.lit(both)) != both)
+    return ~bad & on(local.bitwiseOR(remote), sum(OPERATIONS[o] for o in SERVED_BY))
+
+
 def request_queue(requests: DataFrame) -> DataFrame:
     """chunk_id, high, place: each wanted chunk once, in the order in which to ask for it.
 
@@ -112,9 +127,12 @@ def new_requests(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def responses(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """chunk_id, kind (chunk or missing), data of each request, by joining a (streaming) request table with a store."""
-    held = store.select("chunk_id", "data")
-    return requests.select("chunk_id").join(held, "chunk_id", "left").select("chunk_id", F.when(F.col("data").isNull(), "missing").otherwise("chunk").alias("kind"), "data")
+    """chunk_id, kind (chunk or missing), data of each request, by joining a request table with a store. A
+    chunk that is asked for very often is split over many tasks; a stream of requests is joined
+    as it is, as `new_requests` lets a chunk pass twice at most."""
+    asked, held = requests.select("chunk_id"), store.select("chunk_id", "data")
+    met = asked.join(held, "chunk_id", "left") if requests.isStreaming else attach(asked, held, ["chunk_id"], "left")
+    return met.select("chunk_id", F.when(F.col("data").isNull(), "missing").otherwise("chunk").alias("kind"), "data")
 
 
 def valid_response(chunk_id: Column, data: Column, algorithm: str = "sha256") -> Column:
@@ -142,6 +160,34 @@ class Progress(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None: ...
 
 
+def frame_bytes(frames: DataFrame) -> DataFrame:
+    """`request_frames` (frame_no, high, chunks of binary ids) with `frame`, the bytes that go over the wire."""
+    kind = frames.schema["frame_no"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [encode_frame("request", HIGH_PRIORITY if h else 0, b"".join(map(bytes, c))) for h, c in zip(b["high"], b["chunks"])]
+            yield pd.DataFrame({"frame_no": b["frame_no"], "frame": made})
+
+    return frames.mapInPandas(run, f"frame_no {kind}, frame binary")
+
+
+def read_frames(frames: DataFrame) -> DataFrame:
+    """kind, flags, chunk_id, data of received bytes (`frame`); a request of many chunks gives a row for each. Bytes that are no frame are an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for data in b["frame"]:
+                for kind, flags, ids, rest in decode_frames(bytes(data)):
+                    for k in range(0, max(len(ids), 1), 32):
+                        rows.append((kind, flags, ids[k : k + 32] or None, rest or None))
+            out = pd.DataFrame(rows, columns=["kind", "flags", "chunk_id", "data"])
+            yield out.astype({"flags": "Int64"})
+
+    return frames.select("frame").mapInPandas(run, "kind string, flags long, chunk_id binary, data binary")
+
+
 def follow_index(spark, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Items of indices as their Parquet files arrive in a folder: a stream of index_id, pos, end_offset, chunk_id."""
     reader = spark.readStream.schema("index_id string, pos int, end_offset long, chunk_id string")
