@@ -114,6 +114,29 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each pack: messages that are in it, and how many pieces are there twice, containers are overfull or hold other than they state, messages are divided without need or miss a part."""
+    sizes = _sizes(spark, d)
+    each = written(containers(packed(sizes.select("doc_id", "n_tokens"), table(spark, d, "pack_capacities"))), "containers")
+    inside = F.aggregate("messages", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"])
+    full = each.groupBy("pack_name").agg(F.count_if((F.col("tokens") > F.col("capacity")) | (F.col("tokens") != inside)).alias("overfull"))
+    pieces = each.select("pack_name", "capacity", F.inline("messages")).groupBy("pack_name", "capacity", "doc_id")
+    per = pieces.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece_no").alias("different"), F.sum("n_tokens").alias("tokens")).join(sizes.select("doc_id", F.col("n_tokens").alias("whole")), "doc_id")
+    needed = F.ceil(F.col("whole") / F.col("capacity"))
+    found = per.groupBy("pack_name").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("n") != F.col("different")).alias("doubled"), F.count_if(F.col("n") != needed).alias("divided"), F.count_if(F.col("tokens") != F.col("whole")).alias("cut"))
+    return found.join(full, "pack_name")
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each mix: its sources, messages used more often than allowed, sources off their plan by more than their longest message, and whether the shares sum to 1."""
+    targets = table(spark, d, "source_targets")
+    uses, shares = mixed(_sizes(spark, d), targets)
+    per = uses.join(shares.select("mix_name", "source", "max_repeats"), ["mix_name", "source"]).groupBy("mix_name", "source").agg(F.count_if((F.col("uses") > F.col("max_repeats")) | (F.col("uses") < 0)).alias("overused"), F.max("n_tokens").alias("longest"))
+    met = shares.join(per, ["mix_name", "source"], "left")
+    off = F.abs(F.col("used_tokens") - F.col("planned_tokens")) > F.coalesce("longest", F.lit(0))
+    return met.groupBy("mix_name").agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("overused"), F.lit(0)).alias("overused"), F.count_if(off).alias("off_plan"), (F.abs(F.sum("actual_share") - 1) < 1e-9).alias("whole"))
+
+
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
     """How often each mix uses each message of its sources."""
     return mixed(_sizes(spark, d), table(spark, d, "source_targets"))[0]
@@ -158,9 +181,11 @@ QUERIES = {
     "p4_bounds": p4_bounds,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_checks": p6_checks,
     "p7_uses": p7_uses,
     "p7_shares": p7_shares,
     "p7_shares_full": p7_shares_full,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_verdicts": p8_verdicts,
 }
@@ -174,5 +199,7 @@ ORACLE = {
         e AS (SELECT t.tree_id, t.made_day, count(*) AS n, count_if(t.made_day = f.first_day) AS fresh FROM t JOIN f USING (tree_id, k) GROUP BY t.tree_id, t.made_day),
         g AS (SELECT tree_id, min(first_day) AS day_one FROM f GROUP BY tree_id)
         SELECT tree_id, made_day FROM e JOIN g USING (tree_id) WHERE made_day > day_one AND fresh >= 0.6 * n""",
+    "p6_checks": "SELECT pack_name, count(*) AS messages, 0::BIGINT AS doubled, 0::BIGINT AS divided, 0::BIGINT AS cut, 0::BIGINT AS overfull FROM pack_capacities, documents WHERE strlen(text) > 0 GROUP BY pack_name",
+    "p7_checks": "SELECT mix_name, count(DISTINCT replace(replace(lower(trim(source)), '_', '-'), ' ', '-')) AS sources, 0::BIGINT AS overused, 0::BIGINT AS off_plan, true AS whole FROM source_targets GROUP BY mix_name",
     "p4_bounds": f"{_TREES} SELECT tree_id, made_day, count(DISTINCT k) AS n_exact, true AS within_bound FROM t WHERE k IS NOT NULL GROUP BY GROUPING SETS ((tree_id, made_day), (tree_id), (made_day), ())",
 }

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from conftest import SMOKE
+from oracle import compare
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +79,12 @@ def test_text_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SMOKE).count() > 0
 
 
+@needs_tokens
+@pytest.mark.parametrize("name", ["p6_checks", "p7_checks"])
+def test_invariants_against_sql(spark, name):
+    compare(queries.QUERIES[name](spark, SMOKE), queries.ORACLE[name], SMOKE)
+
+
 def test_water_fill():
     assert water_fill({"a": 0.5, "b": 0.5}, {"a": 100, "b": 10}, 40) == {"a": 30, "b": 10}
     assert water_fill({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 100, "c": 100}, 100) == pytest.approx({"a": 10, "b": 54, "c": 36})
