@@ -59,6 +59,21 @@ def out_of_order(entries: DataFrame, by: str = "tree_id") -> DataFrame:
     return entries.withColumn("__before", F.lag(raw).over(w)).filter(F.col("__before") >= raw).select(by, "parent", "name")
 
 
+def walk_events(entries: DataFrame) -> DataFrame:
+    """tree_id, place, event, path, bytes: what a job reports that walks trees, in the order of the walk: next-file as an entry is
+    reached, payload with the bytes of a file of known size, done-file when all below an entry is done."""
+    step = F.transform(F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/")), lambda x: F.struct(F.lit(0).alias("rank"), x.cast("binary").alias("name")))
+    mark = lambda rank: F.array(F.struct(F.lit(rank).alias("rank"), F.lit(b"").alias("name")))
+    size = F.when(F.col("kind") == "file", F.col("size"))
+    each = F.array(
+        F.struct(F.lit("next-file").alias("event"), F.lit(None).cast("long").alias("bytes"), step.alias("key")),
+        F.struct(F.when(size.isNotNull(), "payload").alias("event"), size.alias("bytes"), F.concat(step, mark(1)).alias("key")),
+        F.struct(F.lit("done-file").alias("event"), F.lit(None).cast("long").alias("bytes"), F.concat(step, mark(2)).alias("key")),
+    )
+    events = entries.select("tree_id", "path", F.inline(each)).filter(F.col("event").isNotNull())
+    return running_total(events, ["tree_id"], ["key"], name="place").select("tree_id", "place", "event", "path", "bytes")
+
+
 def kept_kinds(entries: DataFrame, flags: int) -> DataFrame:
     """Entries whose kind the flags keep; files and folders always are."""
     gone = [k for k, f in KINDS.items() if not flags & ff.FEATURES[f]]

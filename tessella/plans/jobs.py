@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import features as ff
 from ..functions import listing
 from ..functions.chunk_ids import format_id
 from ..functions.codecs import PREFERRED, compress, decompress
-from ..functions import features as ff
-from ..operators import chunking, store
+from ..operators import chunking, store, tree
 from ..session import new_path, spread, written
 from ..sources import archives, index_files, stores
 from ..streaming import chunker, exchange
@@ -79,6 +79,32 @@ def made_and_extracted(spark, d):
     return blobs.select("blob_id", "complete", F.sha2("data", 256).alias("digest"))
 
 
+def pulled_messages(spark, d):
+    """Who served how much when all messages are pulled by their fixed index: a seed has the chunks whose ids begin with 0 to 7, a store those with 8 to b, only the remote store has all."""
+    chunks = written(chunking.fixed_chunks(_blobs(spark, d), FIXED), "pull")
+    have = written(chunks.groupBy("chunk_id").agg(F.any_value("data").alias("data")), "have")
+    some = lambda digits: have.filter(F.substring("chunk_id", 1, 1).isin(*digits))
+    got = verbs.pull(chunking.index_of(chunks), [("seed", some("01234567"))], [("write-store", some("89ab"))], have, SHA256)
+    return got.report
+
+
+def walk_events(spark, d):
+    """What a walk over the tree of every snapshot reports, in order."""
+    return _by_snapshot(tree.walk_events(_trees(spark, d)))
+
+
+def dispatched_messages(spark, d):
+    """What receivers do with the messages of sessions, one for each index: the hello of a client, a request for each of its items, goodbye, and one more request."""
+    items = _items(spark, d).select(F.col("index_id").alias("session"), "arrival_no")
+    asked = items.select("session", F.col("arrival_no").alias("seq"), F.lit("request").alias("kind"), F.lit(0).cast("long").alias("flags"))
+    heads = items.select("session").distinct()
+    extra = lambda seq, kind, flags: heads.select("session", F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit(flags).cast("long").alias("flags"))
+    # Every other session asks for archives only, so its requests for chunks aren't its to send.
+    hello = heads.select("session", F.lit(-1).cast("long").alias("seq"), F.lit("hello").alias("kind"), F.when(F.pmod("session", F.lit(2)) == 0, exchange.OPERATIONS["pull-chunks"]).otherwise(exchange.OPERATIONS["pull-archive"]).cast("long").alias("flags"))
+    sent = asked.unionByName(hello).unionByName(extra(1 << 40, "goodbye", None)).unionByName(extra((1 << 40) + 1, "request", 0)).withColumn("side", F.lit("client"))
+    return exchange.dispatched(sent).groupBy("session", "kind", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _mail_tree(spark: SparkSession, d: str) -> DataFrame:
     """The messages as a tree: a folder for each thousand of them, a file for each message."""
     docs = table(spark, d, "documents").select((F.expr("doc_id div 1000")).cast("string").alias("dir"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
@@ -232,7 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_streams, codec_round_trips, sparse_bytes, verified_chunks, verified_indices, store_after_removal, made_and_extracted, made_and_extracted_tree, scanned_tree, archive_files, index_file_items, store_files,
-        streamed_index, followed_items, streamed_requests, request_order, request_frames, received_requests, responses, stat_texts, entry_digest_pairs, folder_digests, snapshot_diffs,
+        pulled_messages, walk_events, dispatched_messages, streamed_index, followed_items, streamed_requests, request_order, request_frames, received_requests, responses, stat_texts, entry_digest_pairs, folder_digests, snapshot_diffs,
     )
 }
 
@@ -260,6 +286,13 @@ ORACLE = {
     "verified_indices": f"WITH {_FIXED} SELECT doc_id AS index_id, pos, CASE chunk_id[1] WHEN '0' THEN 'damaged' WHEN '1' THEN 'missing' ELSE 'ok' END AS state FROM c",
     "store_after_removal": f"SELECT store_id, k AS chunk_id, size FROM {_S} WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM {_I} WHERE k IS NOT NULL)",
     "made_and_extracted": "SELECT doc_id AS blob_id, true AS complete, sha256(text) AS digest FROM documents WHERE strlen(text) > 0",
+    "pulled_messages": f"""WITH {_FIXED}, p AS (SELECT CASE WHEN chunk_id[1] < '8' THEN 'seed' WHEN chunk_id[1] IN ('8', '9', 'a', 'b') THEN 'write-store' ELSE 'remote' END AS provider, size FROM c)
+        SELECT provider, count(*) AS requests, CAST(sum(size) AS BIGINT) AS bytes, CAST(count(*) * 100 // (SELECT count(*) FROM p) AS BIGINT) AS percent FROM p GROUP BY 1""",
+    "walk_events": f"""WITH {_NODES}, w AS (SELECT snapshot_id, path, kind = 'dir' AS is_dir, size, CASE WHEN path = '' THEN [] ELSE list_transform(string_split(path, '/'), lambda x: '0' || hex(encode(x))) END AS k FROM nodes),
+        e AS (SELECT snapshot_id, path, 'next-file' AS event, CAST(NULL AS BIGINT) AS bytes, k FROM w UNION ALL SELECT snapshot_id, path, 'payload', size, list_append(k, 'y') FROM w WHERE NOT is_dir AND size IS NOT NULL UNION ALL SELECT snapshot_id, path, 'done-file', NULL, list_append(k, 'z') FROM w)
+        SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY k) - 1 AS place, event, path, bytes FROM e""",
+    "dispatched_messages": """WITH s AS (SELECT index_id AS session, count(*) AS n FROM index_items GROUP BY 1) SELECT session, 'hello' AS kind, 'begin' AS action, 1 AS n FROM s UNION ALL SELECT session, 'request', CASE WHEN session % 2 = 0 THEN 'take' ELSE 'error' END, n FROM s
+        UNION ALL SELECT session, 'goodbye', 'end', 1 FROM s UNION ALL SELECT session, 'request', 'ignore', 1 FROM s""",
     "made_and_extracted_tree": f"WITH {_MAIL} SELECT path, kind, mode, mtime_ns, size, digest FROM tree",
     "scanned_tree": f"WITH {_MAIL} SELECT path, kind, mode, mtime_ns, size, digest FROM tree",
     "archive_files": f"WITH {_MAIL} SELECT path, kind, mode, mtime_ns, size FROM tree",

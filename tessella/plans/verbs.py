@@ -17,6 +17,7 @@ from ..operators import cache, chunking, index, store, tree
 from ..operators.lookup import attach
 from ..session import written
 from ..sources import archives
+from ..streaming import exchange
 
 # Suffixes of what can be made.
 SUFFIXES = {".catar": "archive", ".caidx": "archive-index", ".caibx": "blob-index"}
@@ -178,6 +179,33 @@ def extract_trees(items: DataFrame, sources: list[tuple[str, DataFrame]], option
     return archives.unpacked_parts(parts.select(F.col("blob_id").alias("tree_id"), "start", "data"), with_content), _providers_report(got)
 
 
+@dataclass
+class Pulled:
+    """What a pull has done: `requests` (chunk_id, high, place) that were sent, `fetched` (chunk_id, data) that came and are right,
+    `parts` as `resolved_parts` has them, and `report` by provider."""
+
+    requests: DataFrame
+    fetched: DataFrame
+    parts: DataFrame
+    report: DataFrame
+
+
+def pull(items: DataFrame, seeds: list[tuple[str, DataFrame]], held: list[tuple[str, DataFrame]], remote: DataFrame, options: Options = Options()) -> Pulled:
+    """The steps of an extraction from afar in their order: what the seeds and stores at hand (each a name and a table of chunk_id and data) don't
+    have is asked of the remote one, each chunk once, those at the head of an index first; what comes is checked; then all items are resolved, seeds
+    first, then stores, then what was fetched, which the caller may put into a store."""
+    local = None
+    for _, rows in [*seeds, *held]:
+        local = rows.select("chunk_id") if local is None else local.unionByName(rows.select("chunk_id"))
+    first = items.groupBy("chunk_id").agg(F.min("pos").alias("seq"), F.bool_or(F.col("pos") == 0).alias("high"))
+    wanted = first if local is None else first.join(local.distinct(), "chunk_id", "left_anti")
+    requests = written(exchange.request_queue(wanted), "requests")
+    got = exchange.responses(requests, remote).filter(F.col("kind") == "chunk")
+    fetched = written(got.filter(exchange.valid_response(F.unhex("chunk_id"), F.col("data"), options.digest)).select("chunk_id", "data"), "fetched")
+    parts = written(resolved_parts(items, [*seeds, *held, ("remote", fetched)], options), "pulled")
+    return Pulled(requests, fetched, parts, _providers_report(parts))
+
+
 def listed(entries: DataFrame, path: str = "", options: Options = Options()) -> DataFrame:
     """tree_id, path, line of a listing of what is at and below a path."""
     return tree.at_path(entries, path, options.recursive).select("tree_id", "path", listing.list_line(F.col("mode"), F.col("path")).alias("line"))

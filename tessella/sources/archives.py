@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import fcntl
+import grp
 import itertools
 import os
+import pwd
 import stat
 import struct
 from collections.abc import Iterable, Iterator
@@ -23,6 +26,7 @@ TAIL_MARKER = 0x57446FA533702943
 KIND_MODES = {"dir": 0o040000, "file": 0o100000, "link": 0o120000, "block": 0o060000, "char": 0o020000, "fifo": 0o010000, "socket": 0o140000}
 ACL_TAGS = {"user": "acl-user", "group": "acl-group", "default-user": "acl-default-user", "default-group": "acl-default-group"}
 MAX_MAJOR, MAX_MINOR = 1 << 12, 1 << 20
+KEPT_FLAGS = sum(ff.CHATTR.values())
 
 ENTRIES = (
     "path string, kind string, mode int, flags long, uid long, gid long, user string, `group` string, mtime_ns long, size long, target string, major long, minor long, xattrs map<string,binary>, "
@@ -478,6 +482,70 @@ class _ArchiveReader(DataSourceReader):
                 yield (tree, *[e[c] for c in FIELDS])
 
 
+# Fixed values of the kernel's interfaces: requests for attributes and projects, and tags of access lists.
+GETFLAGS, SETFLAGS, GETXATTR = 0x80086601, 0x40086602, 0x801C581F
+LIST_TAGS = {0x02: "user", 0x04: "group-obj", 0x08: "group"}
+DEFAULT_TAGS = {0x01: "default-user-obj", 0x02: "default-user", 0x04: "default-group-obj", 0x08: "default-group", 0x10: "default-mask", 0x20: "default-other"}
+NO_ID = 0xFFFFFFFF
+
+
+def read_acl(data: bytes, tags: dict[int, str]) -> list[tuple]:
+    """(tag, id, name, perm) of the entries of an access list as the kernel has it, those that an archive keeps."""
+    if len(data) < 4 or (len(data) - 4) % 8 or struct.unpack("<I", data[:4])[0] != 2:
+        return []
+    out = []
+    for tag, perm, owner in struct.iter_unpack("<HHI", data[4:]):
+        if tag in tags:
+            out.append((tags[tag], None if owner == NO_ID else owner, None, perm))
+    return out
+
+
+def write_acl(acl: list, tags: dict[int, str], mode: int) -> bytes | None:
+    """The same the other way; of an access list the owner's, the others' and the mask's permissions come from the mode."""
+    back = {v: k for k, v in tags.items()}
+    rows = [(back[a["tag"]], a["perm"], NO_ID if a["id"] is None or a["tag"] in ("group-obj",) or a["tag"].endswith(("-obj", "-mask", "-other")) else a["id"]) for a in acl if a["tag"] in back]
+    if not rows:
+        return None
+    if tags is LIST_TAGS:
+        if 0x04 not in [t for t, _, _ in rows]:
+            rows.append((0x04, mode >> 3 & 7, NO_ID))
+        rows += [(0x01, mode >> 6 & 7, NO_ID), (0x10, mode >> 3 & 7, NO_ID), (0x20, mode & 7, NO_ID)]
+    return struct.pack("<I", 2) + b"".join(struct.pack("<HHI", *r) for r in sorted(rows, key=lambda r: (r[0], r[2])))
+
+
+def _attributes(full: str, kind: str) -> tuple[int, int | None]:
+    """Attributes and project of a file or folder; 0 and null where the file system has none."""
+    if kind not in ("file", "dir"):
+        return 0, None
+    try:
+        fd = os.open(full, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
+    except OSError:
+        return 0, None
+    try:
+        flags, project = 0, None
+        try:
+            flags = struct.unpack("<I", fcntl.ioctl(fd, GETFLAGS, bytes(8))[:4])[0] & KEPT_FLAGS
+        except OSError:
+            pass
+        try:
+            project = struct.unpack("<5I8x", fcntl.ioctl(fd, GETXATTR, bytes(28)))[3] or None
+        except OSError:
+            pass
+        return flags, project
+    finally:
+        os.close(fd)
+
+
+def _owner(find, number: int) -> str | None:
+    """The name of an owner; root's is never kept, an unknown one has none."""
+    if number == 0:
+        return None
+    try:
+        return find(number)[0]
+    except KeyError:
+        return None
+
+
 class _Folder(InputPartition):
     def __init__(self, root: str, below: str, deep: bool):
         self.root, self.below, self.deep = root, below, deep
@@ -485,8 +553,9 @@ class _Folder(InputPartition):
 
 class TreeSource(DataSource):
     """`spark.read.format("tree-walk").load(folder)`: the columns of ENTRIES of a folder on a
-    file system that all executors see. One task for each folder at the top; option content=false
-    leaves files unread, and then only their metadata is touched."""
+    file system that all executors see. One task for each folder at the level `depth` (1) below the top, and
+    one for each folder above; option content=false leaves files unread, and then only their metadata is
+    touched. Names, attributes, labels, capabilities, access lists and projects are null where the file system has none."""
 
     @classmethod
     def name(cls) -> str:
@@ -502,28 +571,37 @@ class TreeSource(DataSource):
 class _TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root, self.content = options["path"].removeprefix("file://"), str(options.get("content", "true")).lower() != "false"
+        self.depth = int(options.get("depth", 1))
 
     def partitions(self) -> list[InputPartition]:
-        folders = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Folder(self.root, "", False), *[_Folder(self.root, f, True) for f in folders]]
+        parts, level = [], [""]
+        for k in range(self.depth + 1):
+            parts += [_Folder(self.root, f, k == self.depth) for f in level]
+            level = [f"{f}/{e.name}" if f else e.name for f in level for e in sorted(os.scandir(os.path.join(self.root, f)), key=lambda e: os.fsencode(e.name)) if e.is_dir(follow_symlinks=False)] if k < self.depth else []
+        return parts
 
     def read(self, part: _Folder) -> Iterator[tuple]:
         def node(path: str) -> tuple:
             full = os.path.join(part.root, path) if path else part.root
             st = os.lstat(full)
             kind = next(k for k, v in KIND_MODES.items() if v == stat.S_IFMT(st.st_mode))
-            xattrs = {}
+            held = {}
             if kind != "link":
                 try:
-                    xattrs = {x: os.getxattr(full, x) for x in sorted(os.listxattr(full)) if x.startswith(("user.", "trusted."))}
+                    held = {x: os.getxattr(full, x) for x in sorted(os.listxattr(full))}
                 except OSError:
                     pass
+            xattrs = {x: v for x, v in held.items() if x.startswith(("user.", "trusted."))}
+            acl = read_acl(held.get("system.posix_acl_access", b""), LIST_TAGS)
+            acl = (acl if any(a[0] != "group-obj" for a in acl) else []) + read_acl(held.get("system.posix_acl_default", b""), DEFAULT_TAGS)
+            label = held.get("security.selinux", b"").rstrip(b"\0").decode("utf-8", "replace") or None
+            flags, project = _attributes(full, kind)
             content = None
             if kind == "file" and self.content:
                 with open(full, "rb") as f:
                     content = f.read()
             device = (os.major(st.st_rdev), os.minor(st.st_rdev)) if kind in ("block", "char") else (None, None)
-            return (path, kind, st.st_mode, 0, st.st_uid, st.st_gid, None, None, st.st_mtime_ns, st.st_size if kind == "file" else None, os.readlink(full) if kind == "link" else None, *device, xattrs, [], None, None, None, content, None)
+            return (path, kind, st.st_mode, flags, st.st_uid, st.st_gid, _owner(pwd.getpwuid, st.st_uid), _owner(grp.getgrgid, st.st_gid), st.st_mtime_ns, st.st_size if kind == "file" else None, os.readlink(full) if kind == "link" else None, *device, xattrs, acl, label, held.get("security.capability"), project, content, None)
 
         def walk(path: str, deep: bool) -> Iterator[tuple]:
             yield node(path)
@@ -539,9 +617,9 @@ class _TreeReader(DataSourceReader):
         yield from walk(part.below, part.deep)
 
 
-def scan_tree(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+def scan_tree(spark: SparkSession, path: str, content: bool = True, depth: int = 1) -> DataFrame:
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree-walk").option("content", str(content).lower()).load(path)
+    return spark.read.format("tree-walk").option("content", str(content).lower()).option("depth", str(depth)).load(path)
 
 
 def read_archives(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
@@ -552,9 +630,10 @@ def read_archives(spark: SparkSession, path: str, content: bool = True) -> DataF
 def extract(entries: DataFrame, target: str, flags: int = ff.DEFAULT) -> DataFrame:
     """Creates entries below `target`, a folder that all executors see, and returns path, state
     (made, skipped). Folders first, level by level, then all else in parallel; a file appears
-    under its name when it is whole. Modes, times and attributes are restored as far as `flags` say; sockets are skipped."""
-    spark = entries.sparkSession
+    under its name when it is whole. Owners, modes, access lists, labels, capabilities, attributes and times are restored as far as
+    `flags` say and the file system and the rights of the process allow; sockets, and devices where they may not be made, are skipped."""
     have = [c for c in FIELDS if c in entries.columns]
+    restored = sum(v for n, v in ff.CHATTR.items() if flags & ff.FEATURES[n])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -578,16 +657,47 @@ def extract(entries: DataFrame, target: str, flags: int = ff.DEFAULT) -> DataFra
                 elif kind == "fifo":
                     if not os.path.lexists(full):
                         os.mkfifo(full)
+                elif kind in ("block", "char"):
+                    ok = os.path.lexists(full) or device(full, kind, e)
                 else:
                     ok = False
+                if ok and kind == "link":
+                    owners(full, e)
                 if ok and kind not in ("link", "dir"):
                     restore(full, e)
                 done.append((e["path"], "made" if ok else "skipped"))
             yield pd.DataFrame(done, columns=["path", "state"])
 
+    def device(full: str, kind: str, e: dict) -> bool:
+        try:
+            os.mknod(full, 0o600 | (stat.S_IFBLK if kind == "block" else stat.S_IFCHR), os.makedev(int(e["major"]), int(e["minor"])))
+            return True
+        except OSError:
+            return False
+
+    def owners(full: str, e: dict) -> None:
+        if flags & ff.bits("16bit-uids", "32bit-uids", "user-names") and os.geteuid() == 0 and not pd.isna(e.get("uid")) and not pd.isna(e.get("gid")):
+            os.chown(full, int(e["uid"]), int(e["gid"]), follow_symlinks=False)
+
     def restore(full: str, e: dict) -> None:
-        if flags & ff.bits("permissions", "acl", "read-only") and not pd.isna(e.get("mode")):
-            os.chmod(full, int(e["mode"]) & 0o7777)
+        owners(full, e)
+        mode = None if pd.isna(e.get("mode")) else int(e["mode"]) & 0o7777
+        if flags & ff.bits("permissions", "acl", "read-only") and mode is not None:
+            os.chmod(full, mode)
+        extra = {}
+        if flags & ff.bits("acl"):
+            acl = [a.asDict() if hasattr(a, "asDict") else dict(a) for a in (e.get("acl") if e.get("acl") is not None else [])]
+            extra |= {"system.posix_acl_access": write_acl(acl, LIST_TAGS, mode or 0), "system.posix_acl_default": write_acl(acl, DEFAULT_TAGS, 0)}
+        if flags & ff.bits("selinux") and e.get("selinux"):
+            extra["security.selinux"] = e["selinux"].encode() + b"\0"
+        if flags & ff.bits("fcaps") and e.get("fcaps"):
+            extra["security.capability"] = bytes(e["fcaps"])
+        for name, value in extra.items():
+            try:
+                if value:
+                    os.setxattr(full, name, value)
+            except OSError:
+                pass
         if flags & ff.bits("xattrs"):
             for name, value in dict(e.get("xattrs") or {}).items():
                 try:
@@ -596,6 +706,16 @@ def extract(entries: DataFrame, target: str, flags: int = ff.DEFAULT) -> DataFra
                     pass
         if flags & ff.bits(*ff._TIMES) and not pd.isna(e.get("mtime_ns")):
             os.utime(full, ns=(int(e["mtime_ns"]), int(e["mtime_ns"])))
+        kept = 0 if pd.isna(e.get("flags")) else int(e["flags"]) & restored
+        if kept and stat.S_IFMT(os.lstat(full).st_mode) in (stat.S_IFREG, stat.S_IFDIR):
+            try:
+                fd = os.open(full, os.O_RDONLY | os.O_NOFOLLOW)
+                try:
+                    fcntl.ioctl(fd, SETFLAGS, struct.pack("<Q", struct.unpack("<I", fcntl.ioctl(fd, GETFLAGS, bytes(8))[:4])[0] | kept))
+                finally:
+                    os.close(fd)
+            except OSError:
+                pass
 
     light = entries.select(*[c for c in have if c != "content"]).filter(F.col("kind") == "dir")
     folders = written(light.withColumn("content", F.lit(None).cast("binary")).mapInPandas(make, "path string, state string"), "folders")

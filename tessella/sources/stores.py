@@ -73,10 +73,15 @@ def delete_from_store(ids: DataFrame, folder: str) -> DataFrame:
     return ids.select("chunk_id").distinct().mapInPandas(run, "removed long").agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"))
 
 
-def fetch(urls: DataFrame, rate_bytes: int | None = None) -> DataFrame:
+def fetch(urls: DataFrame, rate_bytes: int | None = None, required: bool = False) -> DataFrame:
     """`url` with data and status: of each URL what it holds, null if it isn't there. A failed
-    connection is tried up to nine times with growing pauses; any answer other than 200 is final.
-    `rate_bytes` limits each task to so many bytes a second."""
+    connection is tried up to nine times with growing pauses; any answer other than 200 is final, and an error
+    if what is fetched is `required`, as an index or archive is. `rate_bytes` limits all tasks together to so many bytes a
+    second: the URLs are spread over as many tasks as there are cores, and each gets its part."""
+    tasks = urls.sparkSession.sparkContext.defaultParallelism
+    urls = urls.select("url").dropna()
+    if rate_bytes:
+        urls, rate_bytes = urls.repartition(tasks), max(1, rate_bytes // tasks)
 
     def one(url: str) -> tuple[bytes | None, int]:
         for k in range(ATTEMPTS):
@@ -98,10 +103,12 @@ def fetch(urls: DataFrame, rate_bytes: int | None = None) -> DataFrame:
                 data, status = one(url)
                 if rate_bytes and data:
                     time.sleep(max(0.0, len(data) / rate_bytes - (time.monotonic() - began)))
+                if required and data is None:
+                    raise FileNotFoundError(f"{url} can't be fetched: status {status}")
                 out.append((url, data, status))
             yield pd.DataFrame(out, columns=["url", "data", "status"])
 
-    return urls.select("url").dropna().mapInPandas(run, "url string, data binary, status int")
+    return urls.mapInPandas(run, "url string, data binary, status int")
 
 
 def fetch_chunks(ids: DataFrame, store_url: str, rate_bytes: int | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.lookup import attach
 from ..operators.order import running_total
+from ..sources.index_files import ITEM, check_tail, read_header
 
 # Fixed values of the protocol.
 FRAMES = {
@@ -194,3 +197,95 @@ def follow_index(spark, folder: str, files_per_batch: int | None = None) -> Data
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
+
+
+class GrowingIndex(DataSource):
+    """`spark.readStream.format("index-growing").load(file)`: the items of an index file as it is written or downloaded: index_id, pos,
+    end_offset, chunk_id. Each micro-batch takes what is whole by then; a header that isn't one, an offset that doesn't
+    increase and a tail that doesn't fit are errors. Nothing comes behind the tail."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "index-growing"
+
+    def schema(self) -> str:
+        return "index_id string, pos int, end_offset long, chunk_id binary"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _GrowingReader(self.options)
+
+
+class _GrowingReader(SimpleDataSourceStreamReader):
+    def __init__(self, options):
+        self.path = options["path"].removeprefix("file://")
+
+    def initialOffset(self) -> dict:
+        return {"items": 0}
+
+    def _items(self, first: int, last: int | None) -> tuple[list[tuple], int]:
+        """Items from number `first` to before `last` (none: as many as are there)."""
+        rows: list[tuple] = []
+        if not os.path.exists(self.path):
+            return rows, first
+        name = os.path.basename(self.path).rsplit(".", 1)[0]
+        with open(self.path, "rb") as f:
+            head = f.read(64)
+            if len(head) < 64:
+                return rows, first
+            most = read_header(head, 64 + ITEM, self.path)[1][2]
+            f.seek(64 + max(first - 1, 0) * ITEM)
+            before = struct.unpack("<Q", f.read(ITEM)[:8])[0] if first else 0
+            at = first
+            while (last is None or at < last) and len(item := f.read(ITEM)) == ITEM:
+                end = struct.unpack("<Q", item[:8])[0]
+                if end == 0:  # the tail
+                    check_tail(item, at, self.path)
+                    break
+                if not before < end <= before + most:
+                    raise ValueError(f"the offsets of {self.path} don't increase, or by more than a chunk")
+                rows.append((name, at, end, item[8:]))
+                before, at = end, at + 1
+        return rows, at
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = self._items(start["items"], None)
+        return iter(rows), {"items": at}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._items(start["items"], end["items"])[0])
+
+
+def follow_index_file(spark, path: str) -> DataFrame:
+    spark.dataSource.register(GrowingIndex)
+    return spark.readStream.format("index-growing").load(path)
+
+
+#: What a side may send, by what it serves or asks for; hello, goodbye and abort are everybody's.
+_SENDERS = {"index": ["readable-index", "push-index"], "index-eof": ["readable-index", "push-index"], "archive": ["readable-archive", "push-archive"], "archive-eof": ["readable-archive", "push-archive"], "request": ["pull-chunks", "writable-store", "writable-index"], "chunk": ["readable-store", "push-chunks"], "missing": ["readable-store", "push-chunks"]}
+
+
+def dispatched(messages: DataFrame) -> DataFrame:
+    """`messages` (session, side, seq, kind, flags of the frames that the sides of sessions sent, in their order) with
+    `action`: what the receiver does with each.
+
+    begin for the first message of a side, which has to be its hello; take for one that the side's roles, as its hello
+    states them, let it send; end for goodbye and abort; ignore for what comes after these; error for a second or missing
+    hello, a message that isn't the side's to send, and what follows the end of an index or archive."""
+    kind, seq = F.col("kind"), F.col("seq")
+    at = lambda *kinds: F.min(F.when(kind.isin(*kinds), seq))
+    hello = F.when(kind == "hello", seq)
+    # What is told of a side are a few numbers, so a session may have most of all messages.
+    per = messages.groupBy("session", "side").agg(F.min("seq").alias("__first"), F.min(hello).alias("__hello"), F.min_by("flags", hello).alias("__roles"), at("goodbye", "abort").alias("__end"), at("index-eof").alias("__index"), at("archive-eof").alias("__archive"))
+    may = F.lit(False)
+    for k, of in _SENDERS.items():
+        mask = sum((SERVICES | OPERATIONS)[r] for r in of)
+        may = may | (kind == k) & (F.col("__roles").bitwiseAND(F.lit(mask)) != 0)
+    late = kind.isin("index", "index-eof") & (seq > F.col("__index")) | kind.isin("archive", "archive-eof") & (seq > F.col("__archive"))
+    action = (
+        F.when(seq > F.col("__end"), "ignore")
+        .when(seq == F.col("__first"), F.when(kind == "hello", "begin").otherwise("error"))
+        .when(kind.isin("goodbye", "abort"), "end")
+        .when((seq > F.col("__hello")) & may & ~F.coalesce(late, F.lit(False)), "take")
+        .otherwise("error")
+    )
+    return attach(messages, per, ["session", "side"]).select(*messages.columns, action.alias("action"))

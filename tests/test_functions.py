@@ -37,6 +37,7 @@ def test_ids(spark):
     assert values(spark, [0, 1, 128 << 20, (128 << 20) + 1], "long", valid_chunk_length) == [False, True, True, False]
 
 
+# Published digests of the empty text and of foobar.
 @pytest.mark.parametrize(
     "algorithm, data, want",
     [
@@ -60,6 +61,7 @@ def test_siphash(spark):
     assert values(spark, [b"a", None], "binary", digests.name_hash)[1] is None
 
 
+# Published cases of chunk sizes and what they resolve to.
 @pytest.mark.parametrize("given, want", [((1024, 0, 0), (1024, 4096, 16384)), ((0, 0, 16384), (1024, 4096, 16384)), ((0, 4096, 0), (1024, 4096, 16384)), ((0, 4096, 16384), (1024, 4096, 16384)), ((1024, 4096, 16384), (1024, 4096, 16384)), ((1024, 4096, 0), (1024, 4096, 16384)), ((1024, 0, 16384), (1024, 4096, 16384)), ((128 << 10, 0, 512 << 10), (128 << 10, 256 << 10, 512 << 10)), ((0, 0, 0), (16 << 10, 64 << 10, 256 << 10))])
 def test_chunk_sizes(given, want):
     s = cdc.ChunkSizes.of(*given)
@@ -128,6 +130,7 @@ def test_size_texts(spark):
     assert values(spark, [1_500_000_000, 61_000_000_001], "long", lambda c: sizes.format_timespan(c, 1_000_000)) == ["1.500s", "1min 1.000s"]
 
 
+# Published cases of locators with their results.
 SUFFIX = [("foo", "", True), ("", "foo", False), (None, "foo", False), ("foo.bar", ".bar", True), ("foo.bar", "r", True), ("foo.bar", "foo", False), ("foo.bar", "foo.bar", False), ("http://foobar.com/foo.bar", ".bar", True), ("http://foobar.com/foo.bar", ".qux", False), ("http://foobar.com/foo.bar?miep=.qux", ".bar", True), ("http://foobar.com/foo.bar?miep=.qux", ".qux", False), ("http://foobar.com/foo.bar;miep=.qux", ".bar", True), ("http://foobar.com/foo.bar;miep=.qux", ".qux", False)]
 STRIP = [("/foo/bar", "/foo/bar"), ("", ""), ("file:///foobar.txt", "/foobar.txt"), ("file:///foo%20bar.txt", "/foo bar.txt"), ("file:///foo bar.txt", "/foo bar.txt"), ("file:///foo%%xyz.txt", "/foo%%xyz.txt"), ("file:///a+b%2", "/a+b%2"), ("file://localhost/piff.txt", "/piff.txt"), ("file://elsewhere/piff.txt", "file://elsewhere/piff.txt"), ("http://online.com/piff.txt", "http://online.com/piff.txt"), (None, None)]
 CLASSES = [(None, None), ("", None), ("x", "path"), (".", "path"), ("..", "path"), ("./", "path"), ("/", "path"), ("/foo", "path"), ("./foo", "path"), ("http://foobar.com/xyz.txt", "url"), ("http://user@foobar.com/xyz.txt?piff=paff", "url"), ("http://user@localhost:1234/x?p", "url"), ("http://[::]:1234/xyz.txt", "url"), ("http://user@foobar.com", "url"), ("foobar:quux.txt", "ssh"), ("someone@foobar:quux.txt", "ssh"), ("localhost:", "path"), ("HTTP://x/y", "ssh")]

@@ -316,3 +316,64 @@ def test_valid_response_and_followed_index(spark, tmp_path):
     items = spark.createDataFrame([("i", k, k + 1, "x") for k in range(9)], "index_id string, pos int, end_offset long, chunk_id string")
     items.repartition(3).write.parquet(str(tmp_path / "items"))
     assert len(drain(spark, exchange.follow_index(spark, str(tmp_path / "items"), 1), "followed", tmp_path)) == 9
+
+
+def test_growing_index_file(spark, tmp_path):
+    ends, ids = [10, 25, 40, 41, 90], [bytes([k]) * 32 for k in range(5)]
+    whole = index_files.encode_index(0, (1, 20, 60), ends, ids)
+    at = tmp_path / "one.caibx"
+    q = exchange.follow_index_file(spark, str(at)).writeStream.format("memory").queryName("growing").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for n in (30, 64 + 40 * 2 + 11, 64 + 40 * 4, len(whole)):
+            at.write_bytes(whole[:n])
+            q.processAllAvailable()
+            have = max(0, min(5, (n - 64) // 40))
+            assert sorted((r.pos, r.end_offset, bytes(r.chunk_id)) for r in spark.table("growing").collect()) == [(k, ends[k], ids[k]) for k in range(have)]
+    finally:
+        q.stop()
+
+
+def test_dispatch(spark):
+    o, s = exchange.OPERATIONS, exchange.SERVICES
+    a, b = o["pull-chunks"] | o["pull-index"], s["readable-store"] | s["readable-index"]
+    rows = [
+        (1, "client", 1, "hello", a, "begin"), (1, "client", 2, "request", 1, "take"), (1, "client", 3, "chunk", 0, "error"), (1, "client", 4, "goodbye", None, "end"), (1, "client", 5, "request", 0, "ignore"),
+        (1, "server", 1, "hello", b, "begin"), (1, "server", 2, "index", None, "take"), (1, "server", 3, "index-eof", None, "take"), (1, "server", 4, "index", None, "error"), (1, "server", 5, "missing", None, "take"), (1, "server", 6, "hello", b, "error"),
+        (2, "client", 1, "request", 0, "error"), (2, "client", 2, "abort", 1, "end"),
+    ]
+    got = exchange.dispatched(spark.createDataFrame([r[:5] for r in rows], "session long, side string, seq long, kind string, flags long")).collect()
+    assert {(r.session, r.side, r.seq): r.action for r in got} == {r[:3]: r[5] for r in rows}
+
+
+def test_what_is_required_has_to_be_there(spark):
+    with pytest.raises(Exception, match="can't be fetched"):
+        stores.fetch(spark.createDataFrame([("http://127.0.0.1:9/none",)], "url string"), rate_bytes=1000, required=True).collect()
+
+
+def test_access_lists():
+    raw = struct.pack("<I", 2) + b"".join(struct.pack("<HHI", *x) for x in ((1, 7, archives.NO_ID), (2, 6, 5), (4, 5, archives.NO_ID), (8, 4, 9), (16, 7, archives.NO_ID), (32, 1, archives.NO_ID)))
+    acl = archives.read_acl(raw, archives.LIST_TAGS)
+    assert acl == [("user", 5, None, 6), ("group-obj", None, None, 5), ("group", 9, None, 4)]
+    assert archives.write_acl([dict(zip(("tag", "id", "name", "perm"), x)) for x in acl], archives.LIST_TAGS, 0o771) == raw
+    both = archives.read_acl(raw, archives.DEFAULT_TAGS)
+    assert archives.write_acl([dict(zip(("tag", "id", "name", "perm"), x)) for x in both], archives.DEFAULT_TAGS, 0) == raw
+    assert archives.read_acl(b"", archives.LIST_TAGS) == [] and archives.write_acl([], archives.LIST_TAGS, 0) is None
+
+
+def test_walk_depth_owners_and_labels(spark, tmp_path):
+    src = tmp_path / "src"
+    (src / "a" / "b" / "c").mkdir(parents=True)
+    (src / "a" / "b" / "f").write_bytes(b"x")
+    (src / "z").write_bytes(b"y")
+    try:
+        os.setxattr(src / "z", "user.note", b"kept")
+    except OSError:
+        pass
+    one = {r.path: r for r in archives.scan_tree(spark, str(src)).collect()}
+    for depth in (0, 2, 5):
+        got = archives.scan_tree(spark, str(src), depth=depth).collect()
+        assert {r.path: r for r in got} == one and len(got) == len(one) == 6
+    out = str(tmp_path / "out")
+    archives.extract(archives.scan_tree(spark, str(src)), out).collect()
+    again = {r.path: r for r in archives.scan_tree(spark, out).collect()}
+    assert {p: (r.uid, r.gid, r.user, r.group, r.flags, r.xattrs, r.acl) for p, r in again.items()} == {p: (r.uid, r.gid, r.user, r.group, r.flags, r.xattrs, r.acl) for p, r in one.items()}
