@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
 
 from ..functions import features as ff
 from ..functions.digests import siphash24
@@ -555,7 +555,9 @@ class TreeSource(DataSource):
     """`spark.read.format("tree-walk").load(folder)`: the columns of ENTRIES of a folder on a
     file system that all executors see. One task for each folder at the level `depth` (1) below the top, and
     one for each folder above; option content=false leaves files unread, and then only their metadata is
-    touched. Names, attributes, labels, capabilities, access lists and projects are null where the file system has none."""
+    touched. Names, attributes, labels, capabilities, access lists and projects are null where the file system has none.
+    With the option prune=true, for sessions with spark.sql.python.filterPushdown.enabled, a filter on `path` keeps folders
+    that can't hold it from being listed."""
 
     @classmethod
     def name(cls) -> str:
@@ -565,17 +567,27 @@ class TreeSource(DataSource):
         return ENTRIES
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options)
+        return (_PruningTreeReader if str(self.options.get("prune", "false")).lower() == "true" else _TreeReader)(self.options)
 
 
 class _TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root, self.content = options["path"].removeprefix("file://"), str(options.get("content", "true")).lower() != "false"
         self.depth = int(options.get("depth", 1))
+        self.path, self.start = None, ""
+
+    def _wanted(self, path: str) -> bool:
+        return path.startswith(self.start) and self.path in (None, path)
+
+    def _met(self, path: str) -> bool:
+        """Whether something wanted may be at or below a path."""
+        folder = f"{path}/" if path else ""
+        return all(x.startswith(folder) or x == path for x in ([self.path] if self.path is not None else [])) and (self.start.startswith(folder) or path.startswith(self.start))
 
     def partitions(self) -> list[InputPartition]:
         parts, level = [], [""]
         for k in range(self.depth + 1):
+            level = [f for f in level if self._met(f)]
             parts += [_Folder(self.root, f, k == self.depth) for f in level]
             level = [f"{f}/{e.name}" if f else e.name for f in level for e in sorted(os.scandir(os.path.join(self.root, f)), key=lambda e: os.fsencode(e.name)) if e.is_dir(follow_symlinks=False)] if k < self.depth else []
         return parts
@@ -603,23 +615,37 @@ class _TreeReader(DataSourceReader):
             device = (os.major(st.st_rdev), os.minor(st.st_rdev)) if kind in ("block", "char") else (None, None)
             return (path, kind, st.st_mode, flags, st.st_uid, st.st_gid, _owner(pwd.getpwuid, st.st_uid), _owner(grp.getgrgid, st.st_gid), st.st_mtime_ns, st.st_size if kind == "file" else None, os.readlink(full) if kind == "link" else None, *device, xattrs, acl, label, held.get("security.capability"), project, content, None)
 
-        def walk(path: str, deep: bool) -> Iterator[tuple]:
-            yield node(path)
+        todo = [part.below]
+        while todo:
+            path = todo.pop()
             full = os.path.join(part.root, path) if path else part.root
-            for name in sorted(os.listdir(full), key=os.fsencode):
-                below = f"{path}/{name}" if path else name
-                is_dir = os.path.isdir(os.path.join(part.root, below)) and not os.path.islink(os.path.join(part.root, below))
-                if is_dir and deep:
-                    yield from walk(below, True)
-                elif not is_dir:
-                    yield node(below)
-
-        yield from walk(part.below, part.deep)
+            if self._wanted(path):
+                yield node(path)
+            if (path == part.below or part.deep) and os.path.isdir(full) and not os.path.islink(full):
+                names = sorted(os.listdir(full), key=os.fsencode, reverse=True)
+                below = [f"{path}/{n}" if path else n for n in names]
+                if not part.deep:
+                    below = [x for x in below if os.path.islink(os.path.join(part.root, x)) or not os.path.isdir(os.path.join(part.root, x))]
+                todo += [x for x in below if self._met(x)]
+
+
+class _PruningTreeReader(_TreeReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """A path, or the beginning of one, keeps all folders out that can't hold it; Spark still tests each row."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("path",):
+                if isinstance(f, EqualTo):
+                    self.path = f.value
+                elif isinstance(f, StringStartsWith) and len(f.value) > len(self.start):
+                    self.start = f.value
+            yield f
 
 
 def scan_tree(spark: SparkSession, path: str, content: bool = True, depth: int = 1) -> DataFrame:
+    """The entries of a folder; filters on `path` prune the walk if spark.sql.python.filterPushdown.enabled is set."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree-walk").option("content", str(content).lower()).option("depth", str(depth)).load(path)
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("tree-walk").option("content", str(content).lower()).option("depth", str(depth)).option("prune", prune).load(path)
 
 
 def read_archives(spark: SparkSession, path: str, content: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessella import session
 from tessella.functions.cdc import ChunkSizes, chunk_ends
 from tessella.sources import archives, index_files, stores
 from tessella.streaming import chunker, exchange
@@ -373,6 +374,13 @@ def test_walk_depth_owners_and_labels(spark, tmp_path):
     for depth in (0, 2, 5):
         got = archives.scan_tree(spark, str(src), depth=depth).collect()
         assert {r.path: r for r in got} == one and len(got) == len(one) == 6
+    with session.settings(spark, {"spark.sql.python.filterPushdown.enabled": "true"}):
+        tree = lambda depth: archives.scan_tree(spark, str(src), depth=depth)
+        for depth in (0, 1, 3):
+            assert {r.path for r in tree(depth).filter("path LIKE 'a/b%'").collect()} == {"a/b", "a/b/c", "a/b/f"}
+            assert [r.path for r in tree(depth).filter("path = 'a/b/f'").collect()] == ["a/b/f"] and tree(depth).filter("path = 'a/x'").count() == 0
+            assert [r.path for r in tree(depth).filter("path = ''").collect()] == [""]
+        assert tree(1).filter("path = 'z'").rdd.getNumPartitions() == 1 and tree(1).rdd.getNumPartitions() == 2
     out = str(tmp_path / "out")
     archives.extract(archives.scan_tree(spark, str(src)), out).collect()
     again = {r.path: r for r in archives.scan_tree(spark, out).collect()}
