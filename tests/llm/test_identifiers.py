@@ -160,6 +160,17 @@ def test_hot_key_without_order_is_split(spark, force_shuffle):
     assert max(r["count"] for r in parts) < 3000
 
 
+def test_rows_of_one_order_and_key_are_split_at_run_time(spark):
+    rows = spark.range(30_000).selectExpr("unhex('01') AS key", "CAST(7 AS BIGINT) AS `order`", "sha2(CAST(id AS STRING), 256) AS pad")
+    rows = rows.unionByName(spark.range(3000).selectExpr("unhex(sha2(CAST(id AS STRING), 256)) AS key", "id AS `order`", "'x' AS pad"))
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    with settings(spark, small):
+        judged = seen_before(rows, rows.select("key").limit(0))
+        got = judged.collect()
+        assert "skew=true" in plan_of(judged)
+    assert len(got) == 33_000 and not any(r.seen for r in got)
+
+
 def test_overlaps_by_brute_force(spark):
     r = random.Random(3)
     rows = [(r.choice([None, *range(8)]), r.choice([None, 0, 0, *range(25)])) for _ in range(400)]
