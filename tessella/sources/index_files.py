@@ -8,18 +8,20 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.chunk_ids import MAX_CHUNK
+from ..session import settings
 
 # Fixed values of the index format.
 INDEX_TYPE, TABLE_TYPE, TAIL_MARKER = 0x96824D9C7B129FF9, 0xE75B9E112F17417D, 0x4B4F050E5549ECD1
 HEADER, ITEM, ANY_SIZE = 48, 40, (1 << 64) - 1
 _ITEM = np.dtype([("offset", "<u8"), ("chunk", "V32")])
+#: Opening a file counts as reading so many items when files are dealt out to tasks; items read at once.
+OPENING, BATCH = 1024, 1 << 16
 
 
 def encode_index(features: int, sizes: tuple[int, int, int], offsets: np.ndarray, chunks: list[bytes]) -> bytes:
@@ -56,15 +58,18 @@ def check_items(offsets: np.ndarray, before: int, most: int, path: str = "") ->
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int, n: int, last: bool):
-        self.path, self.first, self.n, self.last = path, first, n, last
+    """What a task reads: whole files, or of one file a first item, a number of items and whether they are its last.
+    The paths, below the source's, are one text, as there may be very many of them."""
+
+    def __init__(self, paths: list[str], piece: tuple[int, int, bool] | None = None):
+        self.paths, self.piece = "\0".join(paths), piece
 
 
 class IndexSource(DataSource):
     """`spark.read.format("index-file").load(folder or file)`: index_id (file name without
     suffix), pos, end_offset, chunk_id, feature_flags and chunk sizes. Items have a fixed
-    width, so a large file is read by several tasks (option items_per_task). Files must be
-    reachable from all executors by their path."""
+    width, so a large file is read by several tasks (option items_per_task); small files
+    share a task. Files must be reachable from all executors by their path."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,35 +86,75 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.step = options["path"].removeprefix("file://"), int(options.get("items_per_task", 1 << 20))
 
+    def _files(self) -> Iterator[str]:
+        if os.path.isfile(self.path):
+            yield self.path
+        else:
+            for d, folders, files in os.walk(self.path):
+                folders.sort()
+                yield from (os.path.join(d, f) for f in sorted(files) if f.endswith((".caidx", ".caibx")))
+
     def partitions(self) -> list[InputPartition]:
-        files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs if f.endswith((".caidx", ".caibx")))
-        parts = []
-        for p in files:
-            n = max(0, (os.path.getsize(p) - 64) // ITEM - 1)
-            parts += [_Part(p, k, min(self.step, n - k), k + self.step >= n) for k in range(0, max(n, 1), self.step)]
-        return parts
+        parts, held, room = [], [], self.step
+        for p in self._files():
+            n, below = max(0, (os.path.getsize(p) - 64) // ITEM - 1), p[len(self.path) :]
+            if n > self.step:
+                parts += [_Part([below], (k, min(self.step, n - k), k + self.step >= n)) for k in range(0, n, self.step)]
+                continue
+            if held and n + OPENING > room:
+                parts.append(_Part(held))
+                held, room = [], self.step
+            held.append(below)
+            room -= n + OPENING
+        return parts + ([_Part(held)] if held else [])
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as f:
-            length = os.fstat(f.fileno()).st_size
-            features, sizes, n = read_header(f.read(64), length, part.path)
-            if part.last:
-                f.seek(64 + n * ITEM)
-                check_tail(f.read(ITEM), n, part.path)
-            before = 0
-            if part.first:
-                f.seek(64 + (part.first - 1) * ITEM)
-                before = struct.unpack("<Q", f.read(8))[0]
-            f.seek(64 + part.first * ITEM)
-            items = np.frombuffer(f.read(max(0, part.n) * ITEM), _ITEM)
-        check_items(items["offset"], before, sizes[2], part.path)
-        m, name = len(items), os.path.basename(part.path).rsplit(".", 1)[0]
+        held, rows = [], 0
+        for below in part.paths.split("\0"):
+            for x in _read_file(self.path + below, part.piece):
+                held.append(x)
+                rows += len(x[-1])
+                if rows >= BATCH:
+                    yield _batch(held)
+                    held, rows = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _read_file(path: str, piece: tuple[int, int, bool] | None) -> Iterator[tuple]:
+    """Index, features, chunk sizes, first item and items, checked, of a file or a piece of it, BATCH items at once."""
+    with open(path, "rb") as f:
+        length = os.fstat(f.fileno()).st_size
+        features, sizes, total = read_header(f.read(64), length, path)
+        first, n, last = piece or (0, total, True)
+        if last:
+            f.seek(64 + total * ITEM)
+            check_tail(f.read(ITEM), total, path)
+        before = 0
+        if first:
+            f.seek(64 + (first - 1) * ITEM)
+            before = struct.unpack("<Q", f.read(8))[0]
+        name = os.path.basename(path).rsplit(".", 1)[0]
         signed = features - (1 << 64) if features >> 63 else features
-        same = lambda v: pa.array(np.full(m, v, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * m, pa.string()), pa.array(np.arange(part.first, part.first + m, dtype=np.int32)), pa.array(items["offset"].astype(np.int64)), pa.array([bytes(x) for x in items["chunk"]], pa.binary()), same(signed), *[same(v) for v in sizes]],
-            names=["index_id", "pos", "end_offset", "chunk_id", "feature_flags", "chunk_min", "chunk_avg", "chunk_max"],
-        )
+        for k in range(first, first + n, BATCH):
+            f.seek(64 + k * ITEM)
+            items = np.frombuffer(f.read(min(BATCH, first + n - k) * ITEM), _ITEM)
+            check_items(items["offset"], before, sizes[2], path)
+            before = int(items["offset"][-1])
+            yield name, signed, sizes, k, items
+
+
+def _batch(held: list[tuple]) -> pa.RecordBatch:
+    names, features, sizes, first, items = zip(*held)
+    m = np.array([len(x) for x in items])
+    each = lambda values: np.repeat(np.array(values, np.int64), m)
+    both = np.concatenate(items)
+    pos = np.arange(len(both)) - each(np.cumsum(m) - m) + each(first)
+    ends = np.arange(len(both) + 1, dtype=np.int32) * 32
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()).take(pa.array(each(range(len(m))))), pa.array(pos.astype(np.int32)), pa.array(both["offset"].astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(both["chunk"].tobytes())]), pa.array(each(features)), *[pa.array(each(x)) for x in zip(*sizes)]],
+        names=["index_id", "pos", "end_offset", "chunk_id", "feature_flags", "chunk_min", "chunk_avg", "chunk_max"],
+    )
 
 
 def read_indices(spark: SparkSession, path: str) -> DataFrame:
@@ -117,10 +162,25 @@ def read_indices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("index-file").load(path)
 
 
+#: The driver holds a listing of all files: without the places of their blocks, which tasks of many files can't follow, and not in a cache beyond the query.
+_LISTING = {"spark.sql.sources.ignoreDataLocality": "true", "spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
+
+
+def _packed(files: DataFrame, at_once: int = 256) -> DataFrame:
+    """`files` in no more tasks than cores, their bytes or `at_once` files to a task ask for. Spark
+    counts opening a file as 4 MB, so that a task would read but a few small ones."""
+    spark = files.sparkSession
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    listed = files._jdf.queryExecution().analyzed().relation().location().allFiles().size()  # inputFiles() would make a text of each
+    return files.coalesce(max(spark.sparkContext.defaultParallelism, size // part, listed // at_once))
+
+
 def read_indices_builtin(spark: SparkSession, path: str) -> DataFrame:
     """index_id, pos, end_offset, chunk_id from any file system that Spark reads, without Python.
     Each file is one value, so for files beyond a gigabyte `read_indices` is the way."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{caidx,caibx}").option("recursiveFileLookup", "true").load(path)
+    with settings(spark, _LISTING):
+        files = _packed(spark.read.format("binaryFile").option("pathGlobFilter", "*.{caidx,caibx}").option("recursiveFileLookup", "true").load(path))
     n = ((F.length("content") - 64) / ITEM).cast("int") - 1
     magic = struct.pack("<Q", INDEX_TYPE).hex().upper()
     each = files.filter((n > 0) & (F.hex(F.substring("content", 9, 8)) == magic))
@@ -135,6 +195,8 @@ def write_indices(items: DataFrame, folder: str, suffix: str = ".caibx", feature
     """Writes a file for each index_id of `items` (index_id, pos, end_offset, chunk_id BINARY) and
     returns index_id, path, items. A file appears under its name only when it is whole; writing
     it again gives the same bytes, so a task that is repeated does no harm."""
+    import pandas as pd  # not in the processes of the source
+
     kind = items.schema["index_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,6 +44,26 @@ def test_index_files(spark, tmp_path):
     assert {(r.index_id, r.pos): (r.end_offset, bytes(r.chunk_id)) for r in same} == chunks
 
 
+def test_many_small_index_files(spark, tmp_path):
+    """Files of no, one and two items and a larger one: whole and right from both readers, without a task for each file or for a few of them."""
+    at, ids, want = tmp_path / "idx", [hashlib.sha256(b"%d" % k).digest() for k in range(70_000)], set()
+    at.mkdir()
+    for i in range(1500):
+        n, odd = 70_000 if i == 700 else i % 3, i % 2
+        ends = [(odd + 1) * (pos + 1) for pos in range(n)]
+        (at / f"{i}.caibx").write_bytes(index_files.encode_index(odd << 63, (1, 1, odd + 1), ends, ids[:n]))
+        want |= {(str(i), pos, ends[pos], ids[pos], -(odd << 63), odd + 1) for pos in range(n)}
+    source, builtin = index_files.read_indices(spark, str(at)), index_files.read_indices_builtin(spark, str(at))
+    assert source.rdd.getNumPartitions() <= 8 and builtin.rdd.getNumPartitions() <= 8
+    got = [(r.index_id, r.pos, r.end_offset, bytes(r.chunk_id), r.feature_flags, r.chunk_max) for r in source.collect()]
+    assert len(got) == len(want) and set(got) == want
+    same = [(r.index_id, r.pos, r.end_offset, bytes(r.chunk_id)) for r in builtin.collect()]
+    assert len(same) == len(want) and set(same) == {x[:4] for x in want}
+    (at / "1499.caibx").write_bytes(index_files.encode_index(0, (1, 1, 1), [1, 3], ids[:2]))
+    with pytest.raises(Exception, match="1499"):
+        source.collect()
+
+
 def test_broken_index_files(spark, tmp_path):
     good = index_files.encode_index(0, (1, 2, 9), [5, 9], [b"a" * 32, b"b" * 32])
     for k, bad in enumerate([good[:-1], b"x" * len(good), good[:-8] + b"y" * 8, index_files.encode_index(0, (1, 2, 9), [5, 5], [b"a" * 32] * 2), index_files.encode_index(0, (1, 2, 3), [5, 9], [b"a" * 32] * 2)]):
